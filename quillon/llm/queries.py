@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, embedding_tiles, langid, line_chunks, pii, simhash, url_reputation
+from quillon.llm import decontam, embedding_tiles, langid, line_chunks, packing, pii, simhash, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2, keep_ids=False)
+    return packed.drop("ids")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_groups(_read(spark, sf_dir, "documents"), size=4, most=4))
 
@@ -48,8 +55,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(_read(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

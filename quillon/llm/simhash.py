@@ -55,7 +55,7 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
     for k in range(bits // 64):
         x = hashes
         if k:
-            x = x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+            x = x + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             x = x ^ (x >> np.uint64(31))
