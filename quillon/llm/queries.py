@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, embedding_tiles, langid, line_chunks, packing, pii, simhash, url_reputation
+from quillon.llm import decontam, embedding_tiles, langid, line_chunks, packing, pii, simhash, suffix_dedup, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedupe(_read(spark, sf_dir, "documents"), width=200, keep_bytes=False))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_groups(_read(spark, sf_dir, "documents"), size=4, most=4))
 
