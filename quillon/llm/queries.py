@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, embedding_tiles, langid, line_chunks, packing, pii, simhash, suffix_dedup, url_reputation
+from quillon.llm import decontam, embedding_tiles, langid, license_scan, line_chunks, packing, pii, simhash, suffix_dedup, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(_read(spark, sf_dir, "pages"), labels, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_read(spark, sf_dir, "documents")))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_tiles.near_links(_read(spark, sf_dir, "embeddings"), least=0.9)
 
