@@ -48,7 +48,7 @@ def ranked(df: DataFrame, *order: Column, within: Sequence[str] = (), rank: str
     """Adds the row's place. Without ``within`` the whole table is put in one order, which is what the caller asks for:
     the sort is a range-partitioned one and places come from partition counts, not from a single-partition window."""
     if within:
-        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
     ordered = df.orderBy(*order).withColumn("__p", F.spark_partition_id())
     local = ordered.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))

@@ -53,13 +53,13 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BASE}, f AS (SELECT id, {_form("' ' || name")} AS title, {_form("content")} AS body FROM c)
-SELECT id, CASE WHEN contains(title, 'of the') THEN 100.0 ELSE 60.0 END AS score FROM f WHERE contains(title, 'of the') OR contains(body, 'of the')""")
+SELECT id, CASE WHEN contains(title, 'of the') THEN CAST(100 AS DOUBLE) ELSE 60 END AS score FROM f WHERE contains(title, 'of the') OR contains(body, 'of the')""")
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = catalogue(spark, sf_dir)
     return df.withColumn("score", S.score(df, '"Of the"')).where("score > 0").select("id", "score")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN replace(p_name, ' ', '') = 'blue' OR starts_with(replace(p_name, ' ', ''), 'blue') THEN 100.0 ELSE 0.0 END AS score FROM part""")
+@query("""SELECT p_partkey AS id, CASE WHEN replace(p_name, ' ', '') = 'blue' OR starts_with(replace(p_name, ' ', ''), 'blue') THEN CAST(100 AS DOUBLE) ELSE 0 END AS score FROM part""")
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     hit = S.score(df, "BLUE")
@@ -99,7 +99,7 @@ VERSES = "v AS (SELECT conv_id AS book, turn AS chapter, 1 AS verse, text, list_
 
 
 @query(f"""WITH {VERSES}, h AS (SELECT *, CASE WHEN list_contains(ws, 'the') THEN 1 ELSE 0 END + CASE WHEN list_contains(ws, 'of') THEN 1 ELSE 0 END AS hits FROM v)
-SELECT book, chapter, hits, hits + CASE WHEN contains(lower(text), 'of the') THEN 20.0 ELSE 0.0 END AS score FROM h WHERE hits >= 2 ORDER BY score DESC, book, chapter LIMIT 50""")
+SELECT book, chapter, hits, hits + CASE WHEN contains(lower(text), 'of the') THEN CAST(20 AS DOUBLE) ELSE 0 END AS score FROM h WHERE hits >= 2 ORDER BY score DESC, book, chapter LIMIT 50""")
 def verse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     verses = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("chapter"), F.lit(1).alias("verse"), "text")
     return S.verse_search(verses, "of the").select("book", "chapter", "hits", "score")
