@@ -120,11 +120,11 @@ def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.smoothed(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value").select("user_id", F.round("smoothed", 6).alias("smoothed"))
 
 
-@query("""WITH k AS (SELECT user_id, epoch_ms(ts) AS t, value FROM events WHERE event_type = 'view'), p AS (SELECT event_id, user_id, epoch_ms(ts) AS t FROM events WHERE event_type = 'click'),
+@query("""WITH k AS (SELECT user_id, epoch_us(ts) AS t, value FROM events WHERE event_type = 'view'), p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
 a AS (SELECT p.*, k.t AS ta, k.value AS va FROM p ASOF LEFT JOIN k ON p.user_id = k.user_id AND p.t >= k.t), b AS (SELECT a.*, k.t AS tb, k.value AS vb FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.t < k.t)
 SELECT user_id, t, round(CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL THEN va ELSE va + (vb - va) * ((t - ta) / (tb - ta)) END, 6) AS value FROM b""")
 def interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp")).alias("t")
+    ms = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
     keys = _events(spark, sf_dir, "view").select("user_id", ms, "value")
     return L.interpolated(_events(spark, sf_dir, "click").select("user_id", ms), keys, ["user_id"], "t", "value").withColumn("value", F.round("value", 6))
 
