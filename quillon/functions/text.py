@@ -140,7 +140,7 @@ def media_type(path: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """1536 -> 1.5 KB, to two decimals without trailing zeros."""
-    step = F.when(n >= 1, F.floor(F.log(F.lit(1024.0), F.greatest(n, F.lit(1)).cast("double")) + 1e-12)).otherwise(0).cast("int")
+    step = F.when(n >= 1, F.floor(F.log(1024.0, F.greatest(n, F.lit(1)).cast("double")) + 1e-12)).otherwise(0).cast("int")
     value = F.round(n / F.pow(F.lit(1024.0), step), 2)
     shown = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
     return F.concat(F.when(n >= 1, shown).otherwise("0"), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB", "PB"))), step + 1))
