@@ -75,11 +75,12 @@ def _no_meta() -> Column:
 
 def plain_text(files: DataFrame) -> DataFrame:
     """Sections between blank lines; a first line that is a label names the group and goes."""
-    parts = F.filter(F.split("content", r"\r?\n\s*\r?\n"), lambda s: F.trim(s) != "")
+    bare = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace("content", r"\r\n?", "\n"), r"\n\s*\n"), bare), lambda s: s != "")
 
     def section(s: Column) -> Column:
-        label = explicit_label(F.trim(s))
-        lines = F.split(F.trim(s), r"\r?\n")
+        label = explicit_label(s)
+        lines = F.split(s, "\n")
         return F.struct(F.coalesce(label, F.lit("verse")).alias("group"), F.when(label.isNotNull(), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines).alias("lines"))
 
     return _show(files, F.transform(parts, section), _stem(), _no_meta())
