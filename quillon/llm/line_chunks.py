@@ -7,7 +7,8 @@ the first occurrence (smallest doc_id, then place), and removed, the first excep
 
 All of it is column expressions. Digests are counted with partial sums, and only digests travel for that; the text
 of chunks that do repeat is written once and met by joins whose large side adaptive execution may split, so a chunk
-that a third of all documents share is no single task's.
+that a third of all documents share is no single task's. What is joined to the texts grows with the corpus, so those
+joins are sort-merge joins at every size and never broadcast.
 
 Defined results: a null text stays null and has no lines. Lines end at ``\\n`` only. Chunks of nothing but white
 space stay. Single lines stay however often they occur. Rows that repeat a doc_id and text are one document and are
@@ -57,11 +58,11 @@ def dedupe(docs: DataFrame, spread: int = 3) -> DataFrame:
     rows = rows.withColumn("digest", F.md5(F.col("chunk").cast("binary")))
     place = F.struct("doc_id", "dk", "k")
     again = store(rows.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1"))
-    found = store(rows.join(again, "digest").select("digest", "doc_id", "dk", "k", "chunk", place.eqNullSafe(F.col("first")).alias("is_first")))
+    found = store(rows.join(again.hint("merge"), "digest").select("digest", "doc_id", "dk", "k", "chunk", place.eqNullSafe(F.col("first")).alias("is_first")))
     first = store(found.where("is_first").groupBy("digest").agg(F.min("chunk").alias("first_chunk")))
     same = found.where("not is_first").join(first, "digest").where(F.col("chunk") == F.col("first_chunk"))
     gone = store(same.groupBy("dk").agg(F.collect_set("k").alias("__gone")))
-    out = docs.withColumn("dk_", key).join(gone.withColumnRenamed("dk", "dk_"), "dk_", "left").drop("dk_")
+    out = docs.withColumn("dk_", key).join(gone.withColumnRenamed("dk", "dk_").hint("merge"), "dk_", "left").drop("dk_")
     chunks = chunks_of(F.col("text"), spread)
     kept = F.array_join(F.transform(F.filter(chunks, lambda c: ~F.array_contains("__gone", c["k"])), lambda c: c["chunk"]), "\n")
     lost = F.aggregate(F.filter(chunks, lambda c: F.array_contains("__gone", c["k"])), F.lit(0), lambda s, c: s + c["n"])
