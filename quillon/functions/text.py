@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Punctuation that search drops (not replaced by a space).
-SEARCH_DROPS = r"[.,/#!?$%^&*;:{}=\-_'\"´`~()]"
+SEARCH_DROPS = ".,/#!?$%^&*;:{}=-_'\"´`~()"
 #: Punctuation that the closest-match comparison drops.
-CLOSEST_DROPS = "[ \\-'’\".!?]"
+CLOSEST_DROPS = " -'’\".!?"
 
 
 @cache
@@ -21,14 +21,19 @@ def _fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def fold_accents(c: Column) -> Column:
-    """Letters without their marks; marks that stand alone go. Letters that have no decomposition (ß, ø) stay."""
-    return F.regexp_replace(F.translate(c, *_fold_table()), "[\u0300-\u036f]", "")
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def fold_accents(c: Column, drop: str = "") -> Column:
+    """Letters without their marks, in one pass; marks that stand alone go, and so do the characters of ``drop``.
+    Letters that have no decomposition (ß, ø) stay."""
+    marked, bases = _fold_table()
+    return F.translate(c, marked + MARKS + drop, bases)
 
 
 def format_search(c: Column, spaces: bool = True) -> Column:
     """Search form: lower case, without punctuation and accents, and without white space if ``spaces`` is false; null is empty."""
-    x = fold_accents(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), SEARCH_DROPS, ""))
+    x = fold_accents(F.lower(F.coalesce(c, F.lit(""))), SEARCH_DROPS)
     return x if spaces else F.regexp_replace(x, r"\s+", "")
 
 
@@ -37,7 +42,7 @@ def tokens(c: Column) -> Column:
 
 
 def closest_form(c: Column) -> Column:
-    return fold_accents(F.lower(F.regexp_replace(c, CLOSEST_DROPS, "")))
+    return fold_accents(F.lower(c), CLOSEST_DROPS)
 
 
 def similarity(a: Column, b: Column) -> Column:

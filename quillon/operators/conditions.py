@@ -73,19 +73,25 @@ def _value(many: list[Column], pattern: str) -> Callable[[Column], Column]:
     return value_of
 
 
+def _filler(name: str, many: list[Column]) -> Callable[[Column], Column]:
+    pattern = r"\{" + re.escape(name) + r"(?:#(\d+))?(\|[^}]*)?\}"
+
+    def filled(text: Column) -> Column:
+        tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        rest = F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001")
+        pairs = F.arrays_zip(rest, F.transform(tokens, _value(many, pattern)))
+        return F.array_join(F.flatten(F.transform(pairs, lambda z: F.array(F.coalesce(z["0"], F.lit("")), F.coalesce(z["1"], F.lit(""))))), "")
+
+    return filled
+
+
 def fill(text: Column, values: Mapping[str, Column | Sequence[Column]]) -> Column:
     """Put values for ``{id}``, ``{id#2}`` (by number, from 0) and ``{id|fallback}``.
 
     An empty value gives the fallback or nothing; a missing one the fallback or the token as it stands. Tokens are
     filled name by name over arrays of text pieces, so values may hold anything, dollar signs and braces too."""
     for name, given in values.items():
-        many = list(given) if isinstance(given, (list, tuple)) else [given]
-        pattern = r"\{" + re.escape(name) + r"(?:#(\d+))?(\|[^}]*)?\}"
-        tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        rest = F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001")
-
-        filled = F.transform(tokens, _value(many, pattern))
-        text = F.array_join(F.flatten(F.transform(F.arrays_zip(rest, filled), lambda z: F.array(F.coalesce(z["0"], F.lit("")), F.coalesce(z["1"], F.lit(""))))), "")
+        text = F.get(F.transform(F.array(text), _filler(name, list(given) if isinstance(given, (list, tuple)) else [given])), F.lit(0))
     return text
 
 

@@ -22,38 +22,54 @@ def _known(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def score(df: DataFrame, query: str) -> Column:
-    """Relevance of each row for a query, 0 to 100. A quoted query wants its phrase in the title (100) or content (60)."""
+    """Relevance of each row for a query, 0 to 100. A quoted query wants its phrase in the title (100) or content (60).
+
+    The content is folded once a row, and only for rows whose names don't decide; the query is folded on the driver's
+    side by the optimizer, as it is constant."""
     name, number, ccli, content = _known(df, "name"), _known(df, "number"), _known(df, "ccli"), _known(df, "content")
-    title, body = T.format_search(F.concat_ws(" ", number, name)), T.format_search(content)
+    title = T.format_search(F.concat_ws(" ", number, name))
     trimmed = query.strip()
     if len(trimmed) > 2 and trimmed[0] == trimmed[-1] == '"':
         needle = T.format_search(F.lit(trimmed[1:-1]))
-        found = F.when(needle == "", 0.0).when(F.contains(title, needle), 100.0).when(F.contains(body, needle), 60.0).otherwise(0.0)
+        found = F.when(needle == "", 0.0).when(F.contains(title, needle), 100.0).when(F.contains(T.format_search(content), needle), 60.0).otherwise(0.0)
         return F.when(name == "", 0.0).otherwise(found)
     wanted, spaced = T.format_search(F.lit(query), spaces=False), T.format_search(F.lit(query))
-    flat_number, flat_name = T.format_search(number, spaces=False), T.format_search(name, spaces=False)
-    whole = F.concat(flat_number, flat_name)
     words = T.tokens(spaced)
     long_words = F.filter(words, lambda w: F.length(w) >= 3)
     content_words = F.when(F.size(long_words) > 0, long_words).otherwise(words)
-    in_title, in_content = T.coverage(title, words) * TITLE, T.coverage(body, content_words) * CONTENT
-    again = F.when(F.length(wanted) >= 2, F.least(REPEAT * T.occurrences(F.regexp_replace(body, r"\s+", ""), wanted), F.lit(MOST_REPEATS))).otherwise(0)
     typed = T.format_search(F.array_join(F.filter(F.split(spaced, " "), lambda w: F.length(w) > 2), " "), spaces=False)
-    alike = F.when(typed != "", T.similarity(whole, typed)).otherwise(0.0)
-    total = in_title + in_content + alike * FUZZY + again
-    fine = (in_title > 0) | (in_content > 0) | (again > 0) | (alike >= FUZZY_ALONE)
-    return (
-        F.when(name == "", 0.0)
-        .when((number != "") & (flat_number == wanted), 100.0)
-        .when((ccli != "") & (ccli == trimmed), 100.0)
-        .when((wanted == flat_name) | (wanted == whole), 100.0)
-        .when((wanted != "") & flat_name.startswith(wanted), 100.0)
-        .when(F.size(words) == 0, 0.0)
-        .when(~fine, 0.0)
-        .when(total >= 100, 99.0)
-        .otherwise(total)
-    )
+
+    def of_content(body: Column) -> Column:
+        again = F.when(F.length(wanted) >= 2, F.least(REPEAT * T.occurrences(F.regexp_replace(body, r"\s+", ""), wanted), F.lit(MOST_REPEATS))).otherwise(0)
+        return F.struct((T.coverage(body, content_words) * CONTENT).alias("found"), again.alias("again"))
+
+    def total(x: Column) -> Column:
+        in_content, again, in_title, alike = x["c"]["found"], x["c"]["again"], x["t"], x["s"]
+        sum_ = in_title + in_content + alike * FUZZY + again
+        fine = (in_title > 0) | (in_content > 0) | (again > 0) | (alike >= FUZZY_ALONE)
+        return F.when(~fine, 0.0).when(sum_ >= 100, 99.0).otherwise(sum_)
+
+    def of_names(x: Column) -> Column:
+        whole = F.concat(x["number"], x["name"])
+        alike = F.when(typed != "", T.similarity(whole, typed)).otherwise(0.0)
+        parts = F.struct(_let(T.format_search(content), of_content).alias("c"), (T.coverage(title, words) * TITLE).alias("t"), alike.alias("s"))
+        return (
+            F.when(name == "", 0.0)
+            .when((number != "") & (x["number"] == wanted), 100.0)
+            .when((ccli != "") & (ccli == trimmed), 100.0)
+            .when((wanted == x["name"]) | (wanted == whole), 100.0)
+            .when((wanted != "") & x["name"].startswith(wanted), 100.0)
+            .when(F.size(words) == 0, 0.0)
+            .otherwise(_let(parts, total))
+        )
+
+    return _let(F.struct(T.format_search(number, spaces=False).alias("number"), T.format_search(name, spaces=False).alias("name")), of_names)
 
 
 def relative(scored: DataFrame, column: str = "match") -> DataFrame:
@@ -68,7 +84,9 @@ def search(df: DataFrame, query: str, archived: DataFrame | None = None, active:
     if archived is not None:
         hidden = archived.select(F.col("category")).where(~F.col("category").eqNullSafe(F.lit(active)))
         df = df.join(hidden, "category", "left_anti")
-    return relative(df.withColumn("match", score(df, query)).where("match > 0"))
+    # The filter would repeat the score below the projection, if it were merged with it.
+    scored = df.withColumn("match", F.explode(F.array(score(df, query))))
+    return relative(scored.where("match > 0"))
 
 
 def result_limit(query: str) -> int | None:
