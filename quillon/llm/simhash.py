@@ -220,8 +220,8 @@ def links(distinct: DataFrame, most: int, bits: int = 64, segments: int = 5, wid
 def near_groups(docs: DataFrame, size: int = 4, most: int = 4, bits: int = 64, segments: int = 5, block: int = 2048) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs``: components over links of fingerprints within ``most`` bits.
 
-    With 64 bits every link is found: some segment of the five starts a chain within budget. With more bits,
-    ``most`` is a share of them and a pair that differs in d of them shares a key with probability about
+    With 64 bits every link is found: some segment of the five starts a chain within budget. With more bits a key is
+    a chain of four equal segments of four bits, and a pair that differs in d bits shares one with probability about
     1 - (1 - (1 - d / bits)**16)**(bits / 4): for 256 bits over 0.9 at a seventh, and near 1 at a tenth.
     """
     rows = store(fingerprints(docs, size, bits))
