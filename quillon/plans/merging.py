@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import merging as G
 from quillon.plans.registry import query, table
 
-KEY = F.col("c_custkey")
+
+
+def _key() -> Column:
+    return F.col("c_custkey")
+
+
 SIDES = """c AS (SELECT c_custkey AS k, c_name || ' cloud' AS value, c_custkey * 17 % 100 AS modified FROM customer WHERE c_custkey % 5 <> 0),
 l AS (SELECT c_custkey AS k, c_name || ' local' AS value, c_custkey * 29 % 100 AS modified FROM customer WHERE c_custkey % 7 <> 0)"""
 
 
 def _side(spark: SparkSession, sf_dir: str, cloud: bool) -> DataFrame:
-    kept = KEY % 5 != 0 if cloud else KEY % 7 != 0
+    kept = _key() % 5 != 0 if cloud else _key() % 7 != 0
     name = F.concat("c_name", F.lit(" cloud" if cloud else " local"))
-    return table(spark, sf_dir, "customer").where(kept).select(F.lit("shows").alias("store"), KEY.alias("key"), name.alias("value"), (KEY * (17 if cloud else 29) % 100).alias("modified"))
+    return table(spark, sf_dir, "customer").where(kept).select(F.lit("shows").alias("store"), _key().alias("key"), name.alias("value"), (_key() * (17 if cloud else 29) % 100).alias("modified"))
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = table(spark, sf_dir, "customer").where(KEY % 3 == 0)
-    own = F.when(KEY % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("B")))
+    marks = table(spark, sf_dir, "customer").where(_key() % 3 == 0)
+    own = F.when(_key() % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("B")))
     none = F.expr(G.NONE)
-    ledger = marks.select(F.lit("shows").alias("store"), KEY.alias("key"), F.when(KEY % 4 < 2, own).otherwise(none).alias("created"), F.when(KEY % 4 >= 2, own).otherwise(none).alias("deleted"))
+    ledger = marks.select(F.lit("shows").alias("store"), _key().alias("key"), F.when(_key() % 4 < 2, own).otherwise(none).alias("created"), F.when(_key() % 4 >= 2, own).otherwise(none).alias("deleted"))
     return G.decide(_side(spark, sf_dir, True), _side(spark, sf_dir, False), ledger, G.Run("A", ("A", "B", "C")))
 
 
