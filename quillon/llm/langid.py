@@ -89,7 +89,7 @@ class Model:
         return [self.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)], np.where(has, p, 0.0)
 
 
-def _batches(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
+def _batches(texts: list[str], most: int = 1 << 19) -> Iterator[slice]:
     """Slices of about ``most`` characters, so that memory is bounded by the longest text."""
     at, held = 0, 0
     for k, x in enumerate(texts):
