@@ -150,3 +150,13 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 2048, sample
     named = store(base.select("rid", "vec_id").join(found.withColumnRenamed("node", "rid"), "rid", "left").join(counts, "rid", "left").select("vec_id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least_id = store(named.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     return named.join(least_id, "root").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+#: The same over all pairs, for small tables: links by cosine, reach by recursion.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(s, t) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.t)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE a = v.vec_id) AS n_links, min(t) AS component_id, min(t) = v.vec_id AS kept FROM v JOIN r ON r.s = v.vec_id GROUP BY v.vec_id
+"""

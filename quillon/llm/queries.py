@@ -75,4 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_chunks.ORACLE}
+    return {
+        "op1_url_filter": url_reputation.ORACLE,
+        "op3_embedding_dedup": embedding_tiles.ORACLE,
+        "op8_decontamination": decontam.ORACLE,
+        "op9_line_dedup": line_chunks.ORACLE,
+    }

@@ -108,3 +108,32 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], lim
     out = rows.withColumn("fit", rule).join(known, "host", "left")
     verdict = F.coalesce("fit.verdict", F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_bound")
+
+
+def _strength_sql(name: str, level: str) -> str:
+    """A level's pseudo-pages by the method of moments, as :func:`_strength` has them."""
+    return f"""{name} AS (SELECT CASE WHEN base IS NULL OR base = 0 OR over_ <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, base / over_ - 1)) END AS s
+  FROM (SELECT sum(n * (k / n - m) * (k / n - m) - m * (1 - m)) AS over_, sum(m * (1 - m) * (n - 1)) AS base FROM {level} WHERE n > 0))"""
+
+
+#: The same in SQL, with the query's rules, labels and parameters.
+ORACLE = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+x AS (SELECT *, string_split(host, '.')[-1] AS s1, array_to_string(string_split(host, '.')[-2:], '.') AS s2, array_to_string(string_split(host, '.')[-3:], '.') AS s3 FROM p),
+q AS (SELECT *, CASE WHEN s2 IN {LONG_SUFFIXES} THEN s2 ELSE s1 END AS suffix, CASE WHEN s2 IN {LONG_SUFFIXES} THEN s3 ELSE s2 END AS domain FROM x),
+o AS (SELECT doc_id, CAST(bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS INT) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, domain, suffix, count(*) AS n, CAST(sum(bad) AS DOUBLE) AS k FROM q JOIN o ON page_id = doc_id GROUP BY ALL),
+g AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM h),
+sl AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(mean) AS m FROM h, g GROUP BY suffix), {_strength_sql("ss", "sl")},
+sm AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM sl, ss),
+dl AS (SELECT domain, h.suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h JOIN sm ON h.suffix = sm.suffix GROUP BY domain, h.suffix), {_strength_sql("ds", "dl")},
+dm AS (SELECT domain, (k + s * m) / (n + s) AS m FROM dl, ds),
+hl AS (SELECT host, n, k, m FROM h JOIN dm USING (domain)), {_strength_sql("hs", "hl")},
+e AS (SELECT page_id, q.host, path, coalesce(dm.m, sm.m, mean) AS m, coalesce(n, 0) AS n, coalesce(k, 0) AS k, s FROM q LEFT JOIN hl ON hl.host = q.host LEFT JOIN dm ON dm.domain = q.domain LEFT JOIN sm ON sm.suffix = q.suffix, g, hs),
+f AS (SELECT *, (s * m + k) / (s + n) AS pm FROM e),
+r AS (SELECT *, pm - 1.645 * sqrt(pm * (1 - pm) / (s + n + 1)) AS bound,
+  CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM f)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
