@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.search import small
 
 
 def facet(df: DataFrame, selected: str | None, categories: DataFrame, category: str = "category", locked: str | None = None) -> DataFrame:
@@ -17,13 +18,13 @@ def facet(df: DataFrame, selected: str | None, categories: DataFrame, category:
     if selected == "locked":
         return df.where(F.coalesce(F.col(locked), F.lit(False)))
     if selected == "unlabeled":
-        return df.join(categories.select(category).distinct(), category, "left_anti")
+        return df.join(small(categories.select(category).distinct()), category, "left_anti")
     return df.where(F.col(category) == selected)
 
 
 def allowed(df: DataFrame, access: DataFrame, key: str, level: str = "access") -> DataFrame:
     """Rows whose key isn't marked ``none`` in an access profile."""
-    return df.join(access.where(F.col(level) == "none").select(key), key, "left_anti")
+    return df.join(small(access.where(F.col(level) == "none").select(key)), key, "left_anti")
 
 
 def with_all_tags(df: DataFrame, tags: Sequence[str], column: str = "tags") -> DataFrame:

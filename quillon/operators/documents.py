@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.search import small
+
 #: The nested schema that adapters produce.
 SHOW = (
     "id string, name string, category string, meta map<string,string>, "
@@ -150,5 +152,5 @@ def template_overlay(slides: DataFrame, template: DataFrame, keep_overflow: bool
     nth = lambda *p: F.row_number().over(Window.partitionBy(*p, "type").orderBy("pos"))
     left = slides.withColumn("nth", nth("slide"))
     right = template.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("pos"))).select("type", "nth", F.col("style").alias("over"))
-    out = left.join(F.broadcast(right), ["type", "nth"], "left" if keep_overflow else "inner")
+    out = left.join(small(right), ["type", "nth"], "left" if keep_overflow else "inner")
     return out.select("slide", "pos", "type", F.coalesce("over", "style").alias("style"))

@@ -79,11 +79,16 @@ def relative(scored: DataFrame, column: str = "match") -> DataFrame:
     return scored.withColumnRenamed(column, "original_match").join(F.broadcast(best)).withColumn(column, share).drop("__best")
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Marked for broadcast if it has at most ``rows`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def search(df: DataFrame, query: str, archived: DataFrame | None = None, active: str | None = None) -> DataFrame:
     """Rows that match, with ``match`` and ``original_match``. ``archived``: category names that are hidden unless active."""
     if archived is not None:
         hidden = archived.select(F.col("category")).where(~F.col("category").eqNullSafe(F.lit(active)))
-        df = df.join(hidden, "category", "left_anti")
+        df = df.join(small(hidden), "category", "left_anti")
     # The filter would repeat the score below the projection, if it were merged with it.
     scored = df.withColumn("match", F.explode(F.array(score(df, query))))
     return relative(scored.where("match > 0"))
