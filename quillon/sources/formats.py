@@ -226,3 +226,73 @@ def located(missing: DataFrame, files: DataFrame) -> DataFrame:
     name = lambda c: F.lower(F.regexp_extract(c, r"([^/\\]*)$", 1))
     best = files.groupBy(name("path").alias("n")).agg(F.min_by("path", F.struct(F.length("path"), "path")).alias("found"))
     return missing.withColumn("n", name("path")).join(best, "n", "left").drop("n")
+
+
+def _titled(songs: DataFrame, title: Column, sections: Column, meta: Column, category: str) -> DataFrame:
+    """Documents of files that hold many songs: ids come from the path and the song's place."""
+    return _show(songs.withColumn("path", F.concat_ws("#", "path", F.col("place").cast("string"))), sections, title, meta, category)
+
+
+def quelea_xml(files: DataFrame) -> DataFrame:
+    """Quelea songs: sections with a title attribute, lines in one text."""
+    schema = "title string, author string, ccli string, copyright string, year string, lyrics struct<section:array<struct<_title:string,lyrics:string>>>"
+    doc = files.withColumn("x", F.from_xml("content", schema))
+    lines = lambda s: F.filter(F.transform(F.split(s["lyrics"], "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.transform("x.lyrics.section", lambda s: F.struct(F.coalesce(explicit_label(s["_title"]), F.lit("verse")).alias("group"), lines(s).alias("lines")))
+    keys = ("author", "ccli", "copyright", "year")
+    meta = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.coalesce(f"x.{k}", F.lit("")) for k in keys)))
+    return _show(doc, F.filter(parts, lambda p: F.size(p["lines"]) > 0), F.coalesce("x.title", _stem()), meta)
+
+
+def easyslides_xml(files: DataFrame) -> DataFrame:
+    """EasySlides: many items a file, sections in the contents under bracketed numbers or names."""
+    schema = "Item array<struct<Title1:string,SongNumber:string,Contents:string>>"
+    each = files.withColumn("x", F.from_xml("content", schema)).select("path", F.posexplode("x.Item").alias("place", "s"))
+    blocks = F.filter(F.split("s.Contents", r"(?m)^\s*(?=\[)"), lambda b: F.trim(b) != "")
+    name = lambda b: F.regexp_extract(b, r"^\[([^\]]*)\]", 1)
+    body = lambda b: F.filter(F.transform(F.split(F.regexp_replace(b, r"^\[[^\]]*\]", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(blocks, lambda b: F.struct(F.coalesce(explicit_label(name(b)), F.lit("verse")).alias("group"), body(b).alias("lines"))), lambda p: F.size(p["lines"]) > 0)
+    meta = F.when(F.coalesce(F.col("s.SongNumber").try_cast("int"), F.lit(0)) > 0, F.map_from_arrays(F.array(F.lit("number")), F.array("s.SongNumber"))).otherwise(_no_meta())
+    return _titled(each, F.coalesce("s.Title1", F.lit("")), parts, meta, "Easyslides")
+
+
+def verseview_xml(files: DataFrame) -> DataFrame:
+    """VerseVIEW: many songs a file, slides divided by ``<slide>`` and lines by ``<BR>`` in two texts."""
+    schema = "song array<struct<name:string,category:string,author:string,copyright:string,slide:string,slide2:string>>"
+    each = files.withColumn("x", F.from_xml("content", schema)).select("path", F.posexplode("x.song").alias("place", "s"))
+    cut = lambda c: F.split(F.coalesce(c, F.lit("")), "<slide>")
+    lines = lambda t: F.filter(F.transform(F.split(t, r"(?i)<br\s*/?>"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.concat(cut(F.col("s.slide")), cut(F.col("s.slide2"))), lambda t: F.struct(F.lit("").alias("group"), lines(t).alias("lines"))), lambda p: F.size(p["lines"]) > 0)
+    meta = F.map_from_arrays(F.array(F.lit("author"), F.lit("copyright")), F.array(F.coalesce("s.author", F.lit("")), F.coalesce("s.copyright", F.lit(""))))
+    return _titled(each, F.coalesce("s.name", F.lit("")), parts, meta, "VerseVIEW")
+
+
+def songbeamer(files: DataFrame) -> DataFrame:
+    """SongBeamer: ``#Key=value`` lines, then sections divided by lines of three dashes or two with a letter."""
+    text = F.regexp_replace("content", r"\r\n?", "\n")
+    pairs = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^#\w+=")), lambda x: F.struct(F.lower(F.regexp_extract(x, r"^#(\w+)=", 1)), F.trim(F.regexp_extract(x, r"^#\w+=(.*)$", 1))))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["col1"]))
+    meta = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(pairs, lambda p: p["col1"] == k), F.lit(0))["col2"]))
+    blocks = F.slice(F.split(text, r"(?m)^--[-A-Za-z]\s*$"), F.lit(2), F.lit(1 << 30))
+
+    def section(b: Column) -> Column:
+        lines = F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        label = explicit_label(F.get(lines, F.lit(0)))
+        return F.struct(F.coalesce(label, F.lit("verse")).alias("group"), F.when(label.isNotNull(), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines).alias("lines"))
+
+    parts = F.filter(F.transform(blocks, section), lambda p: F.size(p["lines"]) > 0)
+    return _show(files, parts, F.coalesce(F.nullif(F.element_at(meta, "title"), F.lit("")), _stem()), meta)
+
+
+def videopsalm(files: DataFrame) -> DataFrame:
+    """VideoPsalm agendas: JSON whose keys have no quotes is put right, then songs and their verses are read."""
+    quoted = F.regexp_replace(F.regexp_replace("content", "﻿", ""), r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":')
+    schema = "Songs array<struct<Text:string,Author:string,CCLI:string,Verses:array<struct<Tag:string,Text:string>>>>"
+    each = files.withColumn("x", F.from_json(quoted, schema)).select("path", F.posexplode("x.Songs").alias("place", "s"))
+    kind = lambda t: F.coalesce(F.element_at(F.create_map(*map(F.lit, ("1", "chorus", "2", "bridge"))), t), F.lit("verse"))
+    parts = F.transform("s.Verses", lambda v: F.struct(kind(F.coalesce(v["Tag"], F.lit(""))).alias("group"), F.split(v["Text"], "\n").alias("lines")))
+    meta = F.map_from_arrays(F.array(F.lit("author"), F.lit("ccli")), F.array(F.coalesce("s.Author", F.lit("")), F.coalesce("s.CCLI", F.lit(""))))
+    return _titled(each, F.coalesce("s.Text", F.lit("")), parts, meta, "VideoPsalm")
+
+
+ADAPTERS |= {"quelea": quelea_xml, "easyslides": easyslides_xml, "verseview": verseview_xml, "songbeamer": songbeamer, "videopsalm": videopsalm}

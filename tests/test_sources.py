@@ -123,3 +123,19 @@ def test_located(spark):
     missing = spark.createDataFrame([("/old/Song.MP3",), ("/old/x.png",)], "path string")
     files = spark.createDataFrame([("/a/b/song.mp3",), ("/a/song.mp3",)], "path string")
     assert {r.path: r.found for r in A.located(missing, files).collect()} == {"/old/Song.MP3": "/a/song.mp3", "/old/x.png": None}
+
+
+def test_more_song_formats(spark, tmp_path):
+    texts = {
+        "quelea": ('<song><title>Q</title><author>A</author><lyrics><section title="Verse 1"><lyrics>One\ntwo</lyrics></section><section title="Chorus"><lyrics>Sing</lyrics></section></lyrics></song>', [("Q", [("verse", ["One", "two"]), ("chorus", ["Sing"])])]),
+        "easyslides": ("<EasiSlides><Item><Title1>E</Title1><SongNumber>7</SongNumber><Contents>[1]\nOne\n[chorus]\nSing</Contents></Item><Item><Title1>F</Title1><SongNumber>0</SongNumber><Contents>Only</Contents></Item></EasiSlides>", [("E", [("verse", ["One"]), ("chorus", ["Sing"])]), ("F", [("verse", ["Only"])])]),
+        "verseview": ("<songDB><song><name>V</name><author>A</author><slide><![CDATA[One<BR>two<slide>Three]]></slide><slide2></slide2></song></songDB>", [("V", [("", ["One", "two"]), ("", ["Three"])])]),
+        "songbeamer": ("#LangCount=1\r\n#Title=S\r\n#Author=A=B\r\n---\r\nVerse 1\r\nOne\r\n--A\r\nplain\r\n", [("S", [("verse", ["One"]), ("verse", ["plain"])])]),
+        "videopsalm": ('{Songs:[{Text:"P",Author:"A",Verses:[{Tag:1,Text:"Sing"},{Text:"One\\ntwo"}]}]}', [("P", [("chorus", ["Sing"]), ("verse", ["One", "two"])])]),
+    }
+    for kind, (text, want) in texts.items():
+        folder = tmp_path / kind
+        folder.mkdir()
+        df = A.ADAPTERS[kind](A.read_texts(spark, put(folder, a__x=text)))
+        assert sorted(shown(df)) == want, kind
+        assert df.select("id").distinct().count() == len(want)
