@@ -10,8 +10,9 @@ Contexts of a repeated anchor are made distinct first (a passage copied a millio
 takes contexts by the million bytes, sorts their suffixes to a depth of ``width`` bytes by prefix doubling, and
 reads the longest previous factor off the order: with ties in order of place, the previous smaller position of a
 suffix is its predecessor in the run of equal prefixes, and the next one gives the later match. Bytes decide there;
-hashes only choose what meets. An anchor with more than ``hot`` distinct contexts is spread by the windows' own
-128-bit digests with partial sums instead, so no task takes an unbounded group.
+hashes only choose what meets. The windows of an anchor with more than ``warm`` distinct contexts are dealt into parts
+by the anchor's place in them. Beyond ``hot`` contexts they are spread by their own 128-bit digests with partial sums
+instead, so no task takes an unbounded group.
 
 A text that occurs twice or more as a whole is removed as a whole and is represented once in all of this.
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import store
 
 GRAM = 64
+#: Parts that the windows of an anchor with many contexts are dealt into.
+SHARDS = 8
 #: An odd multiplier and its inverse, for rolling hashes in arithmetic modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -77,14 +80,15 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, hash, first window, number of windows) of each anchor; windows count from their text's start."""
+def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(text's number, hash, first window, number of windows, place behind the first window's start) of each anchor;
+    windows count from their text's start."""
     lengths = np.array([len(x) for x in texts])
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < width:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     h = rolling(data, GRAM)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     place = sliding_least((h & ~mask) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1) & mask
@@ -92,11 +96,11 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     valid = owner[: len(place)] == owner[width - 1 : width - 1 + len(place)]
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     at, who = place[starts].astype(np.int64), owner[starts]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (who[1:] != who[:-1]))))
     first, who = starts[new], who[new]
-    return who, h[at[new]], first - (ends[who] - lengths[who]), np.diff(np.concatenate((new, [len(starts)])))
+    return who, h[at[new]], first - (ends[who] - lengths[who]), np.diff(np.concatenate((new, [len(starts)]))), at[new] - first
 
 
 def batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
@@ -114,7 +118,7 @@ def batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list
         yield at, own
 
 
-def all_anchors(texts: list[bytes], width: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def all_anchors(texts: list[bytes], width: int, most: int = 1 << 18) -> tuple[np.ndarray, ...]:
     """As :func:`anchors` for texts of any length: long ones are taken in parts whose windows join without a gap."""
     parts, number, start = [], [], []
     for k, x in enumerate(texts):
@@ -123,11 +127,11 @@ def all_anchors(texts: list[bytes], width: int, most: int = 1 << 18) -> tuple[np
             number.append(k)
             start.append(at)
     number, start = np.array(number, dtype=np.int64), np.array(start, dtype=np.int64)
-    found = [(who + at, h, first, n) for at, own in batches(parts, most) for who, h, first, n in (anchors(own, width),)]
+    found = [(who + at, *rest) for at, own in batches(parts, most) for who, *rest in (anchors(own, width),)]
     if not found:
         return anchors([], width)
-    who, h, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    return number[who], h, first + start[who], n
+    who, h, first, n, off = (np.concatenate(x) for x in zip(*found, strict=True))
+    return number[who], h, first + start[who], n, off
 
 
 def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
@@ -188,7 +192,7 @@ def runs(windows: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(windows[np.concatenate(([0], gap + 1))].tolist(), windows[np.concatenate((gap, [len(windows) - 1]))].tolist(), strict=True))
 
 
-def repeats(docs: DataFrame, width: int = 200, hot: int = 256, block: int = 1 << 21) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 << 16, block: int = 1 << 21) -> DataFrame:
     """Marks for texts: t1, t2 (the text's digest), whole (it occurs as a whole again), spans (array<struct<first,
     last>> of windows that occur again). Texts without a mark have no row."""
     t1, t2 = F.xxhash64("text"), F.crc32(F.col("text").cast("binary")) * (1 << 31) + F.octet_length("text")
@@ -198,7 +202,7 @@ def repeats(docs: DataFrame, width: int = 200, hot: int = 256, block: int = 1 <<
         for frame in frames:
             for lo in range(0, len(frame), 256):
                 part = frame.iloc[lo : lo + 256]
-                who, h, first, _ = all_anchors([x.encode("utf-8", "surrogatepass") for x in part["text"]], width)
+                who, h, first, _, _ = all_anchors([x.encode("utf-8", "surrogatepass") for x in part["text"]], width)
                 yield pd.DataFrame({"h": h.view(np.int64), "t1": part["t1"].to_numpy()[who], "t2": part["t2"].to_numpy()[who], "at": first.astype(np.int32)})
 
     found = store(texts.mapInPandas(find, "h long, t1 long, t2 long, at int"))
@@ -211,21 +215,27 @@ def repeats(docs: DataFrame, width: int = 200, hot: int = 256, block: int = 1 <<
             for lo in range(0, len(frame), 256):
                 part = frame.iloc[lo : lo + 256]
                 raw = [x.encode("utf-8", "surrogatepass") for x in part["text"]]
-                who, h, first, n = all_anchors(raw, width)
+                who, h, first, n, off = all_anchors(raw, width)
                 h = h.view(np.int64)
                 take = np.zeros(len(h), dtype=bool)
                 for k, hs in enumerate(part["hs"]):
                     own = slice(*np.searchsorted(who, [k, k + 1]))
                     take[own] = np.isin(h[own], np.asarray(hs, dtype=np.int64))
-                who, h, first, n = who[take], h[take], first[take], n[take]
-                yield pd.DataFrame({"h": h, "context": [raw[k][a : a + c + width - 1] for k, a, c in zip(who, first, n, strict=True)], "t1": part["t1"].to_numpy()[who], "t2": part["t2"].to_numpy()[who], "at": first.astype(np.int32)})
+                who, h, first, n, off = (x[take] for x in (who, h, first, n, off))
+                yield pd.DataFrame({"h": h, "context": [raw[k][a : a + c + width - 1] for k, a, c in zip(who, first, n, strict=True)], "t1": part["t1"].to_numpy()[who], "t2": part["t2"].to_numpy()[who], "at": first.astype(np.int32), "off": off.astype(np.int32)})
 
-    places = store(texts.join(wanted, ["t1", "t2"]).mapInPandas(cut, "h long, context binary, t1 long, t2 long, at int").withColumn("c", F.xxhash64("context")))
-    distinct = store(places.groupBy("h", "c", "context").agg(F.min(place).alias("a"), F.max(place).alias("z")).select("h", "c", "context", (F.col("a") != F.col("z")).alias("again")))
+    places = store(texts.join(wanted, ["t1", "t2"]).mapInPandas(cut, "h long, context binary, t1 long, t2 long, at int, off int").withColumn("c", F.xxhash64("context")))
+    distinct = store(places.groupBy("h", "c", "context", "off").agg(F.min(place).alias("a"), F.max(place).alias("z")).select("h", "c", "context", "off", (F.col("a") != F.col("z")).alias("again")))
     sizes = store(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     several = distinct.join(sizes, "h")
     # A context that occurs again is repeated throughout; the others need a partner of another context.
-    alone = several.where(f"n <= {hot}").select("h", "c", "context", "again").repartition("h").sortWithinPartitions("h")
+    cold = several.where(f"n <= {warm}").select("h", F.lit(0).alias("shard"), "c", F.lit(0).alias("base"), "context", "again")
+    # Equal windows have their anchor at the same place, so a warm anchor's windows are dealt out by that place.
+    step = -(-(width - GRAM + 1) // SHARDS)
+    low, high = F.greatest(F.lit(0), F.col("off") - (F.col("shard") + 1) * step + 1), F.least(F.octet_length("context") - width, F.col("off") - F.col("shard") * step)
+    dealt = several.where(f"n > {warm} and n <= {hot}").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+    dealt = dealt.withColumns({"base": low, "end": high}).where("base <= end").select("h", "shard", "c", "base", F.substring("context", F.col("base") + 1, F.col("end") - F.col("base") + width).alias("context"), "again")
+    alone = cold.unionByName(dealt).repartition("h", "shard").sortWithinPartitions("h", "shard")
 
     def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -235,8 +245,7 @@ def repeats(docs: DataFrame, width: int = 200, hot: int = 256, block: int = 1 <<
             size += frame["context"].map(len).sum()
             if size >= block:
                 every = pd.concat(held, ignore_index=True)
-                last = every["h"].iloc[-1]
-                cut_at = int((every["h"] != last).sum())
+                cut_at = int(((every["h"] != every["h"].iloc[-1]) | (every["shard"] != every["shard"].iloc[-1])).sum())
                 if cut_at:
                     yield from solve(every.iloc[:cut_at])
                 held = [every.iloc[cut_at:]]
@@ -247,14 +256,15 @@ def repeats(docs: DataFrame, width: int = 200, hot: int = 256, block: int = 1 <<
     def solve(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         sizes_ = frame["context"].map(len).to_numpy()
         edges = np.flatnonzero(np.diff(np.cumsum(sizes_) // (2 * block), prepend=0)) if len(frame) else []
-        key = frame["h"].to_numpy()
         # Cut at groups only, so that all contexts of an anchor are sorted together.
-        firsts = [0, *sorted({int(np.searchsorted(key[: e + 1], key[e])) for e in edges if key[e] != key[0]} - {0}), len(frame)]
+        group = (frame[["h", "shard"]].to_numpy()[1:] != frame[["h", "shard"]].to_numpy()[:-1]).any(axis=1)
+        heads = np.concatenate(([0], np.flatnonzero(group) + 1))
+        firsts = [*sorted({0, *(int(heads[np.searchsorted(heads, e, side="right") - 1]) for e in edges)}), len(frame)]
         for lo, hi in zip(firsts, firsts[1:], strict=False):
             part = frame.iloc[lo:hi]
             if not len(part):
                 continue
-            out = [(h, c, a, z) for h, c, again_, own in zip(part["h"], part["c"], part["again"], repeated_windows(list(part["context"]), width), strict=True) if not again_ for a, z in runs(own)]
+            out = [(h, c, base + a, base + z) for h, c, base, again_, own in zip(part["h"], part["c"], part["base"], part["again"], repeated_windows(list(part["context"]), width), strict=True) if not again_ for a, z in runs(own)]
             if out:
                 yield pd.DataFrame(out, columns=["h", "c", "first", "last"])
 

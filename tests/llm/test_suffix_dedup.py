@@ -48,8 +48,8 @@ def passages(n=40, seed=2):
 def test_against_brute_force(spark):
     docs = cases.documents(spark).select("doc_id", "text").union(spark.createDataFrame(passages(), "doc_id long, text string")).repartition(6)
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 200)
-    for hot in (256, 3):
-        got = suffix_dedup.digest(suffix_dedup.dedupe(docs, hot=hot, block=1 << 14)).collect()
+    for warm, hot in ((256, 1 << 16), (3, 1 << 16), (3, 5)):
+        got = suffix_dedup.digest(suffix_dedup.dedupe(docs, warm=warm, hot=hot, block=1 << 14)).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == want
     assert suffix_dedup.dedupe(cases.empty(spark)).collect() == []
 
