@@ -14,6 +14,8 @@ hashes only choose what meets. The windows of an anchor with more than ``warm``
 by the anchor's place in them. Beyond ``hot`` contexts they are spread by their own 128-bit digests with partial sums
 instead, so no task takes an unbounded group.
 
+All sides of the joins grow with the corpus, so they are sort-merged at every size.
+
 A text that occurs twice or more as a whole is removed as a whole and is represented once in all of this.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches never cross texts; texts shorter than ``width`` stay.
@@ -208,7 +210,7 @@ def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 <<
     found = store(texts.mapInPandas(find, "h long, t1 long, t2 long, at int"))
     place = F.struct("t1", "t2", "at")
     again = store(found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("h"))
-    wanted = store(found.join(again, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs")))
+    wanted = store(found.join(again.hint("merge"), "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("hs")))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -224,10 +226,10 @@ def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 <<
                 who, h, first, n, off = (x[take] for x in (who, h, first, n, off))
                 yield pd.DataFrame({"h": h, "context": [raw[k][a : a + c + width - 1] for k, a, c in zip(who, first, n, strict=True)], "t1": part["t1"].to_numpy()[who], "t2": part["t2"].to_numpy()[who], "at": first.astype(np.int32), "off": off.astype(np.int32)})
 
-    places = store(texts.join(wanted, ["t1", "t2"]).mapInPandas(cut, "h long, context binary, t1 long, t2 long, at int, off int").withColumn("c", F.xxhash64("context")))
+    places = store(texts.join(wanted.hint("merge"), ["t1", "t2"]).mapInPandas(cut, "h long, context binary, t1 long, t2 long, at int, off int").withColumn("c", F.xxhash64("context")))
     distinct = store(places.groupBy("h", "c", "context", "off").agg(F.min(place).alias("a"), F.max(place).alias("z")).select("h", "c", "context", "off", (F.col("a") != F.col("z")).alias("again")))
     sizes = store(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    several = distinct.join(sizes, "h")
+    several = distinct.join(sizes.hint("merge"), "h")
     # A context that occurs again is repeated throughout; the others need a partner of another context.
     cold = several.where(f"n <= {warm}").select("h", F.lit(0).alias("shard"), "c", F.lit(0).alias("base"), "context", "again")
     # Equal windows have their anchor at the same place, so a warm anchor's windows are dealt out by that place.
@@ -276,7 +278,7 @@ def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 <<
     spread = windows.where("not again").join(twice, "d").select("h", "c", F.col("w").alias("first"), F.col("w").alias("last"))
     whole_context = distinct.where("again").select("h", "c", F.lit(0).alias("first"), (F.octet_length("context") - width).alias("last"))
     marks = store(sorted_.unionByName(spread).unionByName(whole_context))
-    spans = places.select("h", "c", "t1", "t2", "at").join(marks, ["h", "c"]).select("t1", "t2", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")).alias("span"))
+    spans = places.select("h", "c", "t1", "t2", "at").join(marks.hint("merge"), ["h", "c"]).select("t1", "t2", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")).alias("span"))
     twin = texts.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("whole"), F.lit(None).cast("struct<first:int,last:int>").alias("span"))
     every = spans.select("t1", "t2", F.lit(False).alias("whole"), "span").unionByName(twin)
     return store(every.groupBy("t1", "t2").agg(F.max("whole").alias("whole"), F.collect_set("span").alias("spans")))
@@ -315,7 +317,7 @@ def dedupe(docs: DataFrame, width: int = 200, keep_bytes: bool = True, **how) ->
                 out.append((None if pd.isna(doc_id) else int(doc_id), len(raw), [{"start": a, "end": b} for a, b in gone], left if keep_bytes else None, hashlib.sha256(left).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    joined = keyed.join(marks, ["t1", "t2"], "left").select("doc_id", "text", "whole", "spans")
+    joined = keyed.join(marks.hint("merge"), ["t1", "t2"], "left").select("doc_id", "text", "whole", "spans")
     return joined.mapInPandas(take, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string")
 
 
