@@ -77,6 +77,52 @@ def dedupe(docs: DataFrame, spread: int = 3) -> DataFrame:
     ).drop("__gone")
 
 
+def line_pairs(text: Column) -> Column:
+    """array<struct<k:int,upto:int,pair:string>>: each line with text, from ``k`` to the next such line ``upto`` (from 1), blank lines between included."""
+    lines = F.split(text, "\n")
+
+    def cut(lines_: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(1), F.size(lines_)), lambda i: F.get(lines_, i - 1).rlike(r"\S"))
+
+        def pairs(at: Column) -> Column:
+            return F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda j, n: F.struct(F.get(at, n).alias("k"), j.alias("upto"), F.array_join(F.slice(lines_, F.get(at, n), j - F.get(at, n) + 1), "\n").alias("pair")))
+
+        return F.transform(F.array(full), pairs)[0]
+
+    return F.transform(F.array(lines), cut)[0]
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with every passage of two lines or more with text that stood before (smaller doc_id, then place) taken
+    out of ``text``, and a column more: __removed_lines.
+
+    Every pair of neighbouring lines is looked up by its SHA-256, so no boundary has to fall anywhere and a passage goes
+    in full length. A line's first occurrence in the corpus always stays; of a line repeated in a row, two stay.
+    Defined results are those of :func:`dedupe`, but that blank lines neither make nor break a passage.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.length("text"))
+    rows = docs.where("text is not null").select("doc_id", key.alias("dk"), F.explode(line_pairs(F.col("text"))).alias("c"))
+    rows = store(rows.select("doc_id", "dk", "c.k", "c.upto", F.unhex(F.sha2(F.col("c.pair").cast("binary"), 256)).alias("digest")))
+    place = F.struct("doc_id", "dk", "k")
+    again = store(rows.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times"))
+    found = rows.join(again.hint("merge"), "digest").where(~place.eqNullSafe(F.col("first")))
+    # A pair that overlaps its own first occurrence (a line repeated in a row) leaves that one whole.
+    first_upto = F.col("first.k") + F.col("upto") - F.col("k")
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (first_upto >= F.col("k"))
+    lines = F.sequence(F.when(own, first_upto + 1).otherwise(F.col("k")), F.col("upto"))
+    gone = store(found.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias("__gone")))
+    out = docs.withColumn("dk_", key).join(gone.withColumnRenamed("dk", "dk_").hint("merge"), "dk_", "left").drop("dk_")
+
+    def between(lines_: Column) -> Column:
+        ends = F.concat("__gone", F.array(F.size(lines_) + 1))
+        after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        return F.flatten(F.transform(ends, lambda end, i: F.slice(lines_, after(i) + 1, end - after(i) - 1)))
+
+    kept = F.array_join(F.transform(F.array(F.split("text", "\n")), between)[0], "\n")
+    some = F.col("__gone").isNotNull()
+    return out.withColumns({"__removed_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": F.when(some, kept).otherwise(F.col("text"))}).drop("__gone")
+
+
 def digest(docs: DataFrame, spread: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chunks (removed), kept_sha256 (of the text that stays; null: empty)."""
     out = dedupe(docs.select("doc_id", "text"), spread)

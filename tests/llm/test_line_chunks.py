@@ -52,3 +52,56 @@ def test_shifted_passages_are_cut_alike(spark):
     docs = spark.createDataFrame([(k, f"intro {k}\n" * k + passage + f"\nend {k}") for k in range(30)], "doc_id long, text string")
     got = line_chunks.digest(docs).where("doc_id > 0")
     assert got.where("n_removed < 20").count() == 0  # all but the ends and single-line chunks
+
+
+def test_short_passages_between_other_lines_go(spark):
+    """Passages of two to six lines, with other neighbours in each document: later ones lose every line, single lines none."""
+    passages = {n: [[f"passage {n} {p} line {k}" for k in range(n)] for p in range(20)] for n in range(2, 7)}
+    rows, want = [], {}
+    for n, some in passages.items():
+        for p, passage in enumerate(some):
+            for copy in range(3):
+                own = [[f"{side} {n} {p} {copy} {k}" for k in range((p + copy) % 4)] for side in ("before", "after")]
+                doc = len(rows)
+                rows.append((doc, "\n".join([*own[0], *passage, *own[1]])))
+                want[doc] = "\n".join([*own[0], *([] if copy else passage), *own[1]])
+    alone = "a line that stands alone"
+    extra = ["x\n" + alone + "\ny", "z\n" + alone + "\nv", None, "", "q\nq\nq\nq", "one\n\ntwo\nthree", "four\none\n\ntwo\nfive", "one\n\nelse"]
+    stay = [*extra[:4], "q\nq", extra[5], "four\nfive", extra[7]]
+    for text, kept in zip(extra, stay, strict=True):
+        want[len(rows)] = kept
+        rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text for r in line_chunks.without_passages(docs).collect()}
+    assert got == want
+
+
+def test_no_repeated_pair_of_lines_is_missed(spark):
+    docs = cases.documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    seen, want = {}, []
+    for d, t in sorted({(-1 if d is None else d, t) for d, t in rows if t is not None}):
+        lines = t.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for i, j in zip(full, full[1:], strict=False):
+            pair = tuple(lines[i : j + 1])
+            if pair in seen:
+                at = seen[pair]
+                gone |= set(range(i, j + 1)) - (set(range(at[1], at[2] + 1)) if at[0] == (d, t) else set())
+            else:
+                seen[pair] = ((d, t), i, j)
+        want.append((d, t, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    kept = {(d, t): x for d, t, x in want}
+    got = line_chunks.without_passages(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str((d, None if t is None else kept[-1 if d is None else d, t])) for d, t in rows)
+    assert line_chunks.without_passages(cases.empty(spark)).collect() == []
+
+
+def test_the_pipeline_takes_short_passages_out(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"own {k} a\nshared one\nshared two\nown {k} b", 40) for k in range(20)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in got if r.doc_id} == {k: (t, len(t)) for k in range(1, 20) for t in [f"own {k} a\nown {k} b"]}
