@@ -11,8 +11,8 @@ times; time and memory there depend on the number of lengths, not of documents.
 Each piece then finds its place by its rank among the pieces of its length. The ranks come from counters within
 each input partition and a running sum over partitions, so no task sees all pieces of a length.
 
-Token ids follow the vocabulary's merge ranks; the strings of special tokens in a text are ordinary text. The ids
-are the same from either library; tiktoken is faster.
+Token ids follow the vocabulary's merge ranks; the string of an added token in a text is that token's id, as in
+``tokenizers`` by default. The ids are the same from either library; tiktoken is faster.
 
 Defined results: a null or empty text is the end token alone. Rows are packed one by one, repeated rows and null
 ids included. Extra columns are not read. No documents give no sequences.
@@ -46,7 +46,6 @@ def encoder(path: str, library: str = "tiktoken") -> Callable[[list[str]], list[
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
         encode = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
     else:
         import public_tokenizers
@@ -57,10 +56,13 @@ def encoder(path: str, library: str = "tiktoken") -> Callable[[list[str]], list[
         # Byte-level files write each byte as one printable character; the others are moved beyond Latin-1.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         at = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {x["content"] for x in held.get("added_tokens", [])}
+        added = held.get("added_tokens", [])
+        if any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"{path}: added tokens that match more or less than their own string need library='tokenizers'")
+        special = {x["content"]: x["id"] for x in added}
         ranks = {bytes(at[c] for c in token): k for token, k in held["model"]["vocab"].items() if token not in special}
-        model = tiktoken.Encoding(re.sub(r"\W", "_", path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encode = lambda texts: [model.encode_ordinary(x) for x in texts]
+        model = tiktoken.Encoding(re.sub(r"\W", "_", path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        encode = lambda texts: [model.encode(x, allowed_special="all") for x in texts]
     _encoders[path, library] = encode
     return encode
 

@@ -73,3 +73,14 @@ def test_plans_hold_every_piece():
         for k, v in counts.items():
             n[k] = v
         assert sum(t for _, t in out) <= sum(t for _, t in packing.best_fit(n, size))
+
+
+def test_added_tokens_in_texts_get_their_ids(spark):
+    """As the tokenizer file says, with no switch set."""
+    model = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", " <|endoftext|> \n<|endoftext|", "<|endoftext |>", "plain", ""]
+    want = [model.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 50256, 65]
+    assert packing.encoder(PATH)(texts) == want == packing.encoder(PATH, "tokenizers")(texts)
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, size=64).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in got} == {k: [*x, 2] for k, x in enumerate(want)}
