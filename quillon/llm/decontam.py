@@ -117,16 +117,19 @@ def _search(docs: DataFrame, items: list[tuple[str, str | None]], size: int) ->
     return docs.mapInPandas(run, "rid long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 32 << 20, rid: str | None = None) -> DataFrame:
     """For each row of ``docs``: rid, doc_id, n_words, spans (of hit words, merged and in order), items (ids in string order).
 
+    The rids are those of column ``rid``, which has to be stored, or numbers made here.
     With one block of items there is no shuffle; with more, spans and items of the passes are merged by row.
     """
     blocks = _blocks(benchmark, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
+    own = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    rows = docs.select(*own, F.col(rid).alias("rid")) if rid else numbered(docs.select(*own))
     if second is None:
-        return _search(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), first, size)
-    rows = store(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+        return _search(rows, first, size)
+    rows = store(rows)
     passes = [store(_search(rows, first, size)), store(_search(rows, second, size)), *(store(_search(rows, x, size)) for x in blocks)]
     every = passes[0]
     for x in passes[1:]:
