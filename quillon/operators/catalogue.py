@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.search import small
+from quillon.storage import store
 
 
 def facet(df: DataFrame, selected: str | None, categories: DataFrame, category: str = "category", locked: str | None = None) -> DataFrame:
@@ -47,11 +48,15 @@ def count_by(df: DataFrame, categories: DataFrame, key: str) -> DataFrame:
 
 def ranked(df: DataFrame, *order: Column, within: Sequence[str] = (), rank: str = "rank") -> DataFrame:
     """Adds the row's place. Without ``within`` the whole table is put in one order, which is what the caller asks for:
-    the sort is a range-partitioned one and places come from partition counts, not from a single-partition window."""
+    the sort is a range-partitioned one and places come from partition counts, not from a single-partition window.
+
+    The sorted rows are written first. Two branches of one plan sample and coalesce their own ranges, so the number of
+    a partition means the same in both only once it is stored."""
     if within:
         return df.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
     ordered = df.orderBy(*order).withColumn("__p", F.spark_partition_id())
-    local = ordered.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    local = store(ordered.withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)))
+    # A row for each partition of the sort.
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.drop("__n")), "__p").withColumn(rank, (F.col("__before") + F.col("__k") + 1).cast("long")).drop("__p", "__k", "__before")

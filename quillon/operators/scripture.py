@@ -114,16 +114,24 @@ def shows_metadata(rule: Column, index: Column, first: Column, last: Column) ->
 
 
 def similar_paths(missing: DataFrame, files: DataFrame, least: float = 0.5, most: int = 10) -> DataFrame:
-    """For each missing path the files of most similar names. The missing ones are the query; names must be close in
-    length for the level, so the join is on steps of length, and a row meets only its neighbours."""
+    """For each missing path the files of most similar names, ties by path. The missing ones are the query set.
+
+    Only distinct names are compared, each with the first ``most`` paths that bear it, as no more of them can be among
+    the best. Names must be close in length for the level, so the join is on steps of length, and a name meets only its
+    neighbours."""
     from pyspark.sql import Window
 
     from quillon.functions.text import similarity
 
     stem = F.regexp_extract("path", r"([^/\\]*?)(?:\.[^./\\]*)?$", 1)
     step = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / -F.log(F.lit(least))).cast("int")
-    wanted = missing.select(F.col("path").alias("missing"), stem.alias("a")).withColumn("k", F.explode(F.array(step(F.col("a")) - 1, step(F.col("a")), step(F.col("a")) + 1)))
-    others = files.select("path", stem.alias("b")).withColumn("k", step(F.col("b"))).join(missing.select("path"), "path", "left_anti")
-    pairs = wanted.join(others, "k").withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+    first = F.row_number().over(Window.partitionBy("b").orderBy("path"))
+    others = files.select("path").distinct().join(missing.select("path"), "path", "left_anti").select("path", stem.alias("b")).withColumn("nth", first).where(F.col("nth") <= most).drop("nth")
+    names = others.select("b", step(F.col("b")).alias("k")).distinct()
+    wanted = missing.select(F.col("path").alias("missing"), stem.alias("a"))
+    asked = wanted.select("a", F.explode(F.array(step(F.col("a")) - 1, step(F.col("a")), step(F.col("a")) + 1)).alias("k")).distinct()
+    pairs = asked.join(names, "k").withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+    near = pairs.withColumn("nth", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("nth") <= most)
     rank = F.row_number().over(Window.partitionBy("missing").orderBy(F.desc("similarity"), "path"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("missing", "path", "similarity", "rank")
+    found = wanted.join(near.select("a", "b", "similarity"), "a").join(others, "b")
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("missing", "path", "similarity", "rank")

@@ -1,7 +1,7 @@
 """Text analytics: sections, repeats, near-duplicate sections, splitting, wrapping, chords.
 
-What is a function of one text is a column expression or an Arrow UDF over it; near-duplicate sections are found by
-blocking on shared words, never by comparing all pairs.
+What is a function of one text is a column expression or an Arrow UDF over it; near-duplicate sections are found among
+the distinct texts of a document, by steps of length.
 """
 
 from __future__ import annotations
@@ -50,30 +50,38 @@ def repetitive(section: Column) -> Column:
     return (F.size(lines) >= 3) & (similarity(a, b) > 0.95)
 
 
-def near_sections(rows: DataFrame, key: str, ordinal: str, section: str, least: float = 0.7, within: bool = True) -> DataFrame:
-    """Pairs (key, a, b) of sections of one key, a < b, with a similarity of ``least`` or more.
+def near_texts(rows: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
+    """key, t, u, n: for each distinct lower-case text t of a key the other texts u of a similarity of ``least`` or more,
+    and how many rows hold u.
 
-    Edit similarity of a level bounds the ratio of the lengths by it, so on a logarithmic scale of lengths with steps
-    of that ratio a pair lies in one step or in neighbours: an equi-join, checked by lengths before any distance."""
-    low = F.lower(F.col(section))
+    Rows of equal text are one row here. Edit similarity of a level bounds the ratio of the lengths by it, so on a
+    logarithmic scale of lengths with steps of that ratio a pair lies in one step or in neighbours: an equi-join on key
+    and step, checked by lengths before any distance. The key is a document, which holds a bounded number of texts."""
+    low = F.lower(F.col(text))
     step = F.lit(-1.0) / F.log(F.lit(least))
-    size = F.greatest(F.length(section), F.lit(1))
+    size = F.greatest(F.length(text), F.lit(1))
     block = F.floor(F.log(size.cast("double")) * step).cast("int")
-    base = rows.select(key, F.col(ordinal).alias("o"), low.alias("t"), block.alias("k"))
-    left = base.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-    right = base.select(key, F.col("o").alias("b"), F.col("t").alias("u"), "k")
-    pairs = left.join(right, [key, "k"]).where((F.col("o") < F.col("b")) & (F.length("u") >= least * F.length("t")) & (F.length("t") >= least * F.length("u")))
-    return pairs.where(similarity(F.col("t"), F.col("u")) >= least).select(key, F.col("o").alias("a"), "b")
+    base = rows.select(key, low.alias("t"), block.alias("k")).groupBy(key, "t", "k").agg(F.count("*").alias("n"))
+    left = base.select(key, "t", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    right = base.select(key, F.col("t").alias("u"), "k", "n")
+    near = (F.col("t") != F.col("u")) & (F.length("u") >= least * F.length("t")) & (F.length("t") >= least * F.length("u"))
+    return left.join(right, [key, "k"]).where(near).where(similarity(F.col("t"), F.col("u")) >= least).select(key, "t", "u", "n")
 
 
-def classified(rows: DataFrame, key: str, ordinal: str, section: str) -> DataFrame:
+def near_sections(rows: DataFrame, key: str, section: str, least: float = 0.7) -> DataFrame:
+    """``rows`` with ``n_similar``: the other sections of the key with a similarity of ``least`` or more, equal ones too."""
+    others = near_texts(rows, key, section, least).groupBy(key, "t").agg(F.sum("n").alias("__others"))
+    equal = rows.groupBy(key, F.lower(section).alias("t")).agg((F.count("*") - 1).alias("__equal"))
+    counted = equal.join(others, [key, "t"], "left").select(key, F.col("t").alias("__t"), (F.col("__equal") + F.coalesce("__others", F.lit(0))).alias("n_similar"))
+    return rows.withColumn("__t", F.lower(section)).join(counted, [key, "__t"], "left").drop("__t").withColumn("n_similar", F.coalesce("n_similar", F.lit(0)))
+
+
+def classified(rows: DataFrame, key: str, section: str) -> DataFrame:
     """Adds ``group``: explicit label, else tag (short or repetitive), else chorus (a similar section exists), else verse."""
-    pairs = near_sections(rows, key, ordinal, section)
-    similar = pairs.select(key, F.col("a").alias(ordinal)).unionByName(pairs.select(key, F.col("b").alias(ordinal))).distinct().withColumn("__s", F.lit(True))
-    joined = rows.join(similar, [key, ordinal], "left")
     text = F.col(section)
-    group = F.coalesce(explicit_label(text), F.when((F.length(F.replace(text, F.lit("\n"), F.lit(""))) < 30) | repetitive(text), "tag").when(F.col("__s"), "chorus").otherwise("verse"))
-    return joined.withColumn("group", group).drop("__s")
+    short = F.length(F.replace(text, F.lit("\n"), F.lit(""))) < 30
+    group = F.coalesce(explicit_label(text), F.when(short | repetitive(text), "tag").when(F.col("n_similar") > 0, "chorus").otherwise("verse"))
+    return near_sections(rows, key, section).withColumn("group", group).drop("n_similar")
 
 
 def deduped(rows: DataFrame, key: str, ordinal: str, *same: str) -> DataFrame:

@@ -53,11 +53,11 @@ def media_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(hit & (F.col("p_type") != "ECONOMY")).select("p_partkey", "p_name")
 
 
-@query("SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON date_trunc('day', e.ts) = o.o_orderdate + INTERVAL 9496 DAY WHERE o.o_orderkey < 5000")
+@query("SELECT event_id, CAST(ts AS DATE) AS day FROM events JOIN (SELECT DISTINCT CAST(o_orderdate + INTERVAL 9496 DAY AS DATE) AS day FROM orders) o ON CAST(ts AS DATE) = o.day")
 def exact_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows at exactly the wanted times."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 5000").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 9496).alias("day"))
-    return table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day")).join(orders, "day").select("event_id", "o_orderkey")
+    wanted = table(spark, sf_dir, "orders").select(F.date_add(F.to_date("o_orderdate"), 9496).alias("day")).distinct()
+    return table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day")).join(wanted, "day").select("event_id", "day")
 
 
 @query("SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000 UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")

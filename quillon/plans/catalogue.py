@@ -50,13 +50,13 @@ def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey * 7919 % 1000 END, p_name, p_partkey) AS rank FROM part""")
 def song_number_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("mp"), (F.col("p_partkey") * 7919 % 1000).cast("string")))
-    return C.ranked(table(spark, sf_dir, "part").withColumn("number", number), *C.number_order("number", "p_name"), F.col("p_partkey")).select("p_partkey", "rank")
+    return C.ranked(table(spark, sf_dir, "part").select("p_partkey", "p_name", number.alias("number")), *C.number_order("number", "p_name"), F.col("p_partkey")).select("p_partkey", "rank")
 
 
 @query("""SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 7, s_suppkey, s_suppkey) AS rank FROM supplier""")
 def file_name_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("take-"), F.chr(97 + F.col("s_suppkey") % 7), F.col("s_suppkey").cast("string"), F.lit(".mp3"))
-    return C.ranked(table(spark, sf_dir, "supplier").withColumn("name", name), *C.file_order("name")).select("s_suppkey", "rank")
+    return C.ranked(table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name")), *C.file_order("name")).select("s_suppkey", "rank")
 
 
 @query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey * 31 % 997 END AS modified, o_orderkey % 101 AS created FROM orders)
@@ -70,7 +70,7 @@ def catalogue_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, row_number() OVER (ORDER BY list_position(['1-URGENT', '5-LOW', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), o_orderkey IN (1, 2, 3) DESC, o_orderkey) AS rank FROM orders""")
 def type_rank_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [C.type_rank("o_orderpriority", ["1-URGENT", "5-LOW", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]), ~F.col("o_orderkey").isin(1, 2, 3), F.col("o_orderkey")]
-    return C.ranked(table(spark, sf_dir, "orders"), *order).select("o_orderkey", "rank")
+    return C.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), *order).select("o_orderkey", "rank")
 
 
 @query("SELECT source, doc_id, n_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5")

@@ -9,12 +9,12 @@ from quillon.operators import documents as D
 from quillon.plans.registry import query, table
 
 
-@query("""WITH l AS (SELECT o_orderkey AS doc, o_custkey AS slide FROM orders WHERE o_orderkey < 500), p AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_partkey AS id, l_suppkey FROM lineitem WHERE l_orderkey < 500 AND l_partkey % 5 <> 0),
+@query("""WITH l AS (SELECT o_orderkey AS doc, o_custkey AS slide FROM orders), p AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_partkey AS id, l_suppkey FROM lineitem WHERE l_partkey % 5 <> 0),
 e AS (SELECT doc, pos, id AS parent, unnest(CASE WHEN id % 3 = 0 THEN [-1, 0, 1] ELSE [-1] END) AS k FROM p)
 SELECT doc, pos, row_number() OVER (PARTITION BY doc ORDER BY pos, CAST(parent AS VARCHAR), k) - 1 AS layout_index, CASE WHEN k < 0 THEN CAST(parent AS VARCHAR) ELSE parent || '-' || k END AS id,
   CASE WHEN k < 0 THEN 'parent' ELSE 'child' END AS type FROM (SELECT DISTINCT * FROM e)""")
 def layout_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    items = table(spark, sf_dir, "lineitem")
     layout = items.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").cast("string").alias("id")).distinct()
     child = F.when(F.col("l_partkey") % 3 == 0, F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.concat_ws("-", F.col("l_partkey").cast("string"), k.cast("string"))))
     slides = items.where("l_partkey % 5 <> 0").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").cast("string").alias("id"), F.lit("Verse").alias("group"), child.alias("children")).dropDuplicates(["doc", "id"])
@@ -77,7 +77,7 @@ def joined_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE = """nodes AS (SELECT 'root' AS id, CAST(NULL AS VARCHAR) AS parent, 'root' AS label UNION ALL SELECT 'r' || r_regionkey, 'root', r_name FROM region
-UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer WHERE c_custkey < 300),
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 t(id, depth, path) AS (SELECT id, 0, label FROM nodes WHERE id = 'root' UNION ALL SELECT n.id, t.depth + 1, t.path || '/' || n.label FROM nodes n JOIN t ON n.parent = t.id)"""
 
 
@@ -86,7 +86,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = spark.createDataFrame([("root", None, "root")], "id string, parent string, label string")
     region = table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("id"), F.lit("root").alias("parent"), F.col("r_name").alias("label"))
     nation = table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent"), F.col("n_name").alias("label"))
-    customer = table(spark, sf_dir, "customer").where("c_custkey < 300").select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent"), F.col("c_name").alias("label"))
+    customer = table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent"), F.col("c_name").alias("label"))
     return root.unionByName(region).unionByName(nation).unionByName(customer)
 
 
@@ -109,10 +109,10 @@ def move_and_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.get(a, F.lit(0)).alias("was_first"), F.array_join(D.moved(a, F.lit(0), F.lit(2)), "|").alias("moved"), F.array_join(chosen.cast("array<string>"), ",").alias("selected"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS slide, l_linenumber AS pos, l_returnflag AS type, l_linestatus AS style, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem WHERE l_orderkey < 300)
+@query("""WITH s AS (SELECT l_orderkey AS slide, l_linenumber AS pos, l_returnflag AS type, l_linestatus AS style, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem)
 SELECT slide, pos, type, CASE WHEN type = 'A' AND nth = 1 THEN 'big' WHEN type = 'A' AND nth = 2 THEN 'small' WHEN type = 'N' AND nth = 1 THEN 'note' ELSE style END AS style FROM s""")
 def template_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey < 300")
+    items = table(spark, sf_dir, "lineitem")
     slides = items.select(F.col("l_orderkey").alias("slide"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("style"))
     template = spark.createDataFrame([(0, "A", "big"), (1, "N", "note"), (2, "A", "small")], "pos int, type string, style string")
     return D.template_overlay(slides, template).select("slide", F.col("pos.l_linenumber").alias("pos"), "type", "style")

@@ -23,11 +23,12 @@ def verse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.select(_verses(spark, sf_dir), 2, "1:3-12; 2:20-4:5; 6:1,4; 8").select("book", "chapter", "verse").distinct()
 
 
-@query(f"""WITH {V}, d AS (SELECT DISTINCT book, chapter, verse FROM v WHERE verse % 7 <> 0 AND text LIKE '%3'), r AS (SELECT *, verse - row_number() OVER (PARTITION BY book, chapter ORDER BY verse) AS g FROM d),
+@query("""WITH d AS (SELECT DISTINCT l_suppkey AS book, l_linenumber AS chapter, l_partkey % 176 + 1 AS verse FROM lineitem), r AS (SELECT *, verse - row_number() OVER (PARTITION BY book, chapter ORDER BY verse) AS g FROM d),
 s AS (SELECT book, chapter, min(verse) AS a, max(verse) AS b FROM r GROUP BY book, chapter, g), t AS (SELECT book, chapter, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, '+' ORDER BY a) AS x FROM s GROUP BY book, chapter)
 SELECT book, string_agg(chapter || ':' || x, '; ' ORDER BY chapter) AS reference FROM t GROUP BY book""")
 def reference_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.reference_text(_verses(spark, sf_dir).where("verse % 7 <> 0 AND text LIKE '%3'"))
+    items = table(spark, sf_dir, "lineitem")
+    return R.reference_text(items.select(F.col("l_suppkey").alias("book"), F.col("l_linenumber").alias("chapter"), (F.col("l_partkey") % 176 + 1).alias("verse")))
 
 
 @query(f"""WITH {V} SELECT book, chapter, verse, max(text) FILTER (WHERE translation = 'A') AS A, max(text) FILTER (WHERE translation = 'N') AS N FROM v WHERE translation IN ('A', 'N') GROUP BY ALL""")
@@ -51,12 +52,13 @@ def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", x["start"].alias("start"), x["end"].alias("end"), R.shows_metadata(rule, line, F.lit(0), F.lit(8)).alias("metadata"))
 
 
-@query("""WITH m AS (SELECT url AS missing, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS a FROM pages WHERE page_id % 25 = 0), f AS (SELECT DISTINCT url AS path, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS b FROM pages WHERE page_id % 25 <> 0 AND url NOT IN (SELECT missing FROM m)),
+@query("""WITH m AS (SELECT url AS missing, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS a FROM pages WHERE page_id % 50 = 0), f AS (SELECT DISTINCT url AS path, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS b FROM pages WHERE url NOT IN (SELECT missing FROM m)),
 s AS (SELECT missing, path, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS s FROM m, f), r AS (SELECT *, row_number() OVER (PARTITION BY missing ORDER BY s DESC, path) AS rank FROM s WHERE s >= 0.5)
 SELECT missing, path, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10""")
 def similar_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
-    found = R.similar_paths(pages.where("page_id % 25 = 0").select("path"), pages.where("page_id % 25 <> 0").select("path").distinct())
+    """The missing files are the pages whose id is divisible by 50, asked of all others."""
+    found = R.similar_paths(pages.where("page_id % 50 = 0").select("path"), pages.select("path"))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -12,12 +12,11 @@ from quillon.operators import texts as X
 from quillon.plans.registry import query, table
 
 
-def _lines(spark: SparkSession, sf_dir: str, most: int = 3000) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("n_chars") < most)
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
 
 
-L = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents WHERE n_chars < 3000)"
+L = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents)"
 
 
 @query("""WITH t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
@@ -35,23 +34,38 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.deduped(_lines(spark, sf_dir), "doc_id", "ordinal", "line").select("doc_id", "ordinal", "first")
 
 
-@query("""WITH t AS (SELECT p_brand, p_partkey, lower(p_name) AS n FROM part) SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
-WHERE 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.7""")
+#: Parts as sections, forty to a document: labelled, short, repetitive, unlike any other, and alike.
+SECTIONS = """t AS (SELECT p_partkey, p_partkey // 40 AS doc, CASE p_size % 5 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN '[Verse]' ELSE '[Chorus]' END || chr(10) || p_name WHEN 1 THEN p_name
+  WHEN 2 THEN repeat(p_name || ' and all of it once more' || chr(10), 3) WHEN 3 THEN sha256(CAST(p_partkey AS VARCHAR)) ELSE p_name || ' ' || p_type || ' for everyone who sings along' END AS x, p_size % 5 AS kind FROM part),
+u AS (SELECT doc, lower(x) AS l, count(*) AS n FROM t GROUP BY ALL),
+m AS (SELECT a.doc, a.l, sum(CASE WHEN a.l = b.l THEN b.n - 1 ELSE b.n END) AS n_similar FROM u a JOIN u b ON a.doc = b.doc WHERE 1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l)) >= 0.7 GROUP BY ALL)"""
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, kind, key = F.col("p_name"), F.col("p_size") % 5, F.col("p_partkey")
+    label = F.concat(F.when(key % 2 == 0, "[Verse]").otherwise("[Chorus]"), F.lit("\n"), name)
+    again = F.repeat(F.concat(name, F.lit(" and all of it once more\n")), F.lit(3))
+    alike = F.concat_ws(" ", name, "p_type", F.lit("for everyone who sings along"))
+    text = F.when(kind == 0, label).when(kind == 1, name).when(kind == 2, again).when(kind == 3, F.sha2(key.cast("string"), 256)).otherwise(alike)
+    return table(spark, sf_dir, "part").select("p_partkey", F.floor(key / 40).alias("doc"), text.alias("text"))
+
+
+@query(f"WITH {SECTIONS} SELECT p_partkey, CAST(n_similar AS BIGINT) AS n_similar FROM t JOIN m ON t.doc = m.doc AND lower(x) = l")
 def near_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.near_sections(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name")
+    return X.near_sections(_sections(spark, sf_dir), "doc", "text").select("p_partkey", "n_similar")
 
 
-@query("""WITH t AS (SELECT p_brand, p_partkey, lower(p_name) AS n, p_name FROM part), s AS (SELECT DISTINCT a.p_partkey FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.7)
-SELECT p_partkey, 'tag' AS "group" FROM t LEFT JOIN s USING (p_partkey)""")
+@query(f"""WITH {SECTIONS} SELECT p_partkey, CASE WHEN kind = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'verse' ELSE 'chorus' END WHEN kind IN (1, 2) THEN 'tag' WHEN n_similar > 0 THEN 'chorus' ELSE 'verse' END AS "group"
+FROM t JOIN m ON t.doc = m.doc AND lower(x) = l""")
 def section_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.classified(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name").select("p_partkey", "group")
+    return X.classified(_sections(spark, sf_dir), "doc", "text").select("p_partkey", "group")
 
 
-@query(f"""WITH {L}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, ordinal) AS k FROM l WHERE ordinal < 3), n AS (SELECT doc_id, ordinal, line, unnest(range(0, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END)) AS copy FROM r)
+@query(f"""WITH {L}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, ordinal) AS k FROM l), n AS (SELECT doc_id, ordinal, line, unnest(range(0, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END)) AS copy FROM r)
 SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(copy AS INT) AS copy, trim(line, ' ') AS line FROM n""")
 def repeat_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.when(F.col("doc_id") % 3 == 0, F.concat("line", F.lit(" x3"))).otherwise(F.col("line"))
-    return X.expanded_repeats(_lines(spark, sf_dir).where("ordinal < 3").withColumn("line", marked), "doc_id", "ordinal", "line")
+    return X.expanded_repeats(_lines(spark, sf_dir).withColumn("line", marked), "doc_id", "ordinal", "line")
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations), e AS (SELECT conv_id, turn, len(ws) AS n FROM w)
@@ -106,11 +120,11 @@ def condition_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where(K.condition(tree, values)).select("c_custkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice * (1 - l_discount) + 2.5) / l_quantity % 7, 6) AS result FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice * (1 - l_discount) + 2.5) / l_quantity % 7, 6) AS result FROM lineitem")
 def expression_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = {n: F.col(f"l_{n}") for n in ("extendedprice", "discount", "quantity")}
     result = N.arithmetic("(extendedprice * (1 - discount) + 2.5) / quantity % 7", c)
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(result, 6).alias("result"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(result, 6).alias("result"))
 
 
 @query("SELECT p_partkey, p_name || ' by ' || CASE WHEN p_size > 25 THEN p_brand ELSE 'nobody' END || ' {other} ' || p_type || ' none' AS text FROM part")

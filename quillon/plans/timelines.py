@@ -54,26 +54,26 @@ def tick_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where((at >= F.lit("2024-01-10").cast("timestamp")) & (at < F.lit("2024-01-10 06:00:00").cast("timestamp"))).select("event_id")
 
 
-@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS b FROM orders WHERE o_orderkey < 2000)
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS b FROM orders)
 SELECT o_orderkey, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM d""")
 def day_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000").withColumn("until", F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5).cast("int")).cast("timestamp"))
+    orders = table(spark, sf_dir, "orders").withColumn("until", F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5).cast("int")).cast("timestamp"))
     return L.day_overlap(orders, "o_orderdate", "until").select("o_orderkey", "day")
 
 
-@query("""WITH e AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, ['day', 'week', 'month', 'year'][o_orderkey % 4 + 1] AS u, CAST(o_orderkey % 3 + 1 AS INT) AS s FROM orders WHERE o_orderkey < 1000),
+@query("""WITH e AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, ['day', 'week', 'month', 'year'][o_orderkey % 4 + 1] AS u, CAST(o_orderkey % 3 + 1 AS INT) AS s FROM orders),
 k AS (SELECT *, unnest(range(0, 6)) AS n FROM e)
 SELECT o_orderkey, CAST(n AS INT) AS occurrence, CAST(CASE u WHEN 'day' THEN d + CAST(n * s AS INT) WHEN 'week' THEN d + CAST(7 * n * s AS INT) WHEN 'month' THEN d + to_months(CAST(n * s AS INT)) ELSE d + to_months(CAST(12 * n * s AS INT)) END AS DATE) AS date FROM k""")
 def recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.get(F.array(*map(F.lit, ("day", "week", "month", "year"))), (F.col("o_orderkey") % 4).cast("int"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 1000").withColumns({"unit": unit, "every": F.col("o_orderkey") % 3 + 1, "times": F.lit(6)})
+    orders = table(spark, sf_dir, "orders").withColumns({"unit": unit, "every": F.col("o_orderkey") % 3 + 1, "times": F.lit(6)})
     return L.recurrences(orders, "o_orderdate", "unit", "every", times="times").select("o_orderkey", "occurrence", "date")
 
 
-@query("""WITH e AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey < 300), k AS (SELECT *, unnest(range(0, 400)) AS n FROM e),
-x AS (SELECT o_orderkey, CAST(d + CAST(14 * n AS INT) AS DATE) AS date FROM k) SELECT o_orderkey, date FROM x WHERE date <= DATE '2002-01-01' AND day(date) <> 13""")
+@query("""WITH e AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), k AS (SELECT *, unnest(range(0, 40)) AS n FROM e),
+x AS (SELECT o_orderkey, CAST(d + CAST(91 * n AS INT) AS DATE) AS date FROM k) SELECT o_orderkey, date FROM x WHERE date <= DATE '2000-01-01' AND day(date) <> 13""")
 def recurrence_until(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 300").select("o_orderkey", "o_orderdate", F.lit("week").alias("unit"), F.lit(2).alias("every"), F.lit("2002-01-01").cast("date").alias("until"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.lit("week").alias("unit"), F.lit(13).alias("every"), F.lit("2000-01-01").cast("date").alias("until"))
     dates = L.recurrences(orders, "o_orderdate", "unit", "every", until="until").select("o_orderkey", "date")
     return L.without_exceptions(dates, dates.where(F.dayofmonth("date") == 13), ["o_orderkey"])
 
@@ -94,13 +94,13 @@ def calendar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.weekofyear(d).alias("week"), M.nth_weekday(d).alias("nth"), F.date_format("o_orderdate", "dd.MM.yy").alias("shown"), F.last_day(d).alias("month_end"))
 
 
-@query("""WITH d AS (SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders WHERE o_orderkey < 3000)
+@query("""WITH d AS (SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders)
 SELECT o_orderkey, CAST(m + CAST((8 - isodow(m)) % 7 + 14 AS INT) AS DATE) AS third_monday,
   CASE WHEN month(m + CAST((12 - isodow(m)) % 7 + 28 AS INT)) = month(m) THEN CAST(m + CAST((12 - isodow(m)) % 7 + 28 AS INT) AS DATE) END AS fifth_friday,
   CAST(last_day(m) - CAST(isodow(last_day(m)) % 7 AS INT) AS DATE) AS last_sunday FROM d""")
 def nth_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.to_date("o_orderdate")
-    return table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", M.weekday_of_month(d, "Mon", 3).alias("third_monday"), M.weekday_of_month(d, "Fri", 5).alias("fifth_friday"), M.weekday_of_month(d, "Sun", -1).alias("last_sunday"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.weekday_of_month(d, "Mon", 3).alias("third_monday"), M.weekday_of_month(d, "Fri", 5).alias("fifth_friday"), M.weekday_of_month(d, "Sun", -1).alias("last_sunday"))
 
 
 @query("SELECT user_id, CAST(max(event_id * 1000 + event_id % 7 * 1000) AS BIGINT) AS duration_ms FROM events GROUP BY user_id")

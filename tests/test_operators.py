@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import numbers as N
 from quillon.functions import times as M
+from quillon.operators import catalogue as C
 from quillon.operators import conditions as K
 from quillon.operators import documents as D
 from quillon.operators import polls as P
@@ -104,7 +105,7 @@ def test_polls(spark):
 def test_sections(spark):
     text = "[Verse]\nA first line of the song here\nsecond line\n\nSing along with all of us now\nevery day we live\n\nSing along with all of us now\nevery day we lived\n\nShort one\n\nChorus 2:\nx y z"
     rows = X.sections(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
-    got = [r.group for r in X.classified(rows, "id", "ordinal", "section").orderBy("ordinal").collect()]
+    got = [r.group for r in X.classified(rows, "id", "section").orderBy("ordinal").collect()]
     assert got == ["verse", "chorus", "chorus", "tag", "chorus"]
     lines = spark.createDataFrame([(1, 0, "hey x3"), (1, 1, ":/: twice :/:"), (1, 2, "once")], "id int, n int, line string")
     assert [r.line for r in X.expanded_repeats(lines, "id", "n", "line").orderBy("n", "copy").collect()] == ["hey"] * 3 + ["twice"] * 2 + ["once"]
@@ -135,3 +136,16 @@ def test_islands_whatever_the_order(spark, numbers):
     text = D.islands(df, ["k"], "n").first().ranges
     back = {x for part in text.split("+") for a, _, b in [part.partition("-")] for x in range(int(a), int(b or a) + 1)}
     assert back == set(numbers)
+
+
+def test_ranked_keeps_every_row_of_a_wide_table(spark):
+    """Sorted partitions of uneven width are coalesced; places still run from 1 without a gap."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        wide = spark.range(120_000).select((F.col("id") * 7919 % 120_011).alias("k"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("x"), F.lit(900))).otherwise("y").alias("pad"))
+        got = C.ranked(wide, F.col("k")).select("k", "rank", F.length("pad").alias("n")).orderBy("k").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 120_000
+    assert (got["rank"].to_numpy() == range(1, 120_001)).all()
