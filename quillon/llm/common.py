@@ -2,48 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder. A local one is made only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="quillon-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
-
-
-def store(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs one read.
-
-    The JVM is asked to collect garbage, as Spark only deletes shuffle files of stages that nothing refers to.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    schema = df.schema
-    del df
-    gc.collect()
-    jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+from quillon.storage import scratch, store
 
+__all__ = ["components", "local_roots", "numbered", "scratch", "store", "text_of"]
 
 def numbered(df: DataFrame, rid: str = "rid") -> DataFrame:
     """Add a row number that is unique, not dense. Only stable once stored."""

@@ -3,10 +3,10 @@
 Documents become token ids; those longer than a sequence are cut into full pieces, what is left over coming first.
 Only the histogram of piece lengths (at most one count for each length) reaches the driver. There the linear
 program "fewest sequences that cover all lengths, over all ways to fill a sequence" is solved by multiplicative
-weights: each length has a weight that falls as it is covered, and a knapsack by dynamic programming finds the
-fillings of the highest price; all fillings near the best are raised together. The fractional solution is rounded
-down, and what is left of the histogram is packed best fit, longest first. Both give patterns with a number of
-times; time and memory there depend on the number of lengths, not of documents.
+weights: each length has a price that falls as it is covered, and a knapsack by dynamic programming finds the
+fillings of the highest price; all fillings near the best are raised together, until every length is covered. The
+fractional solution is rounded, and what is left of the histogram is packed best fit, longest first. Both give
+patterns with a number of times; time and memory there depend on the number of lengths, not of documents.
 
 Each piece then finds its place by its rank among the pieces of its length. The ranks come from counters within
 each input partition and a running sum over partitions, so no task sees all pieces of a length.
@@ -15,7 +15,7 @@ Token ids follow the vocabulary's merge ranks; the string of an added token in a
 ``tokenizers`` by default. The ids are the same from either library; tiktoken is faster.
 
 Defined results: a null or empty text is the end token alone. Rows are packed one by one, repeated rows and null
-ids included. Extra columns are not read. No documents give no sequences.
+ids included; ids keep their type and value (they pass Python as strings, so a null among them changes none). Extra columns are not read. No documents give no sequences.
 """
 
 from __future__ import annotations
@@ -90,64 +90,111 @@ def tokenized(docs: DataFrame, path: str, size: int, end: int, library: str = "t
                     raw = np.array([*ids, end], dtype="<u4")
                     for k, (at, n) in enumerate(pieces_of(len(raw), size)):
                         data = raw[at : at + n].tobytes()
-                        out.append((None if pd.isna(doc_id) else int(doc_id), k, at, n, data if keep_ids else None, zlib.crc32(data), chunk, seen[n]))
+                        out.append((doc_id, k, at, n, data if keep_ids else None, zlib.crc32(data), chunk, seen[n]))
                         seen[n] += 1
             columns = ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "chunk", "nth"]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, chunk int, nth long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, piece int, start long, length long, ids binary, ids_crc32 long, chunk int, nth long")
 
 
-def knapsack(prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best price within each capacity, lengths 1..size at ``prices``; and the length taken last (0: less will do)."""
+def knapsack(prices: np.ndarray, items: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best price within each capacity of any number of ``items`` (lengths, the longest first), and the one taken last
+    (0: less will do). Of equal prices the longest counts, so that fillings have few pieces."""
     best, took = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
+    own = prices[items]
+    fits = np.searchsorted(-items, -np.arange(size + 1))
     for c in range(1, size + 1):
-        with_ = best[c - 1 :: -1][:c] + prices[1 : c + 1]
-        k = int(with_.argmax())
-        if with_[k] > best[c - 1]:
-            best[c], took[c] = with_[k], k + 1
-        else:
-            best[c] = best[c - 1]
+        best[c] = best[c - 1]
+        k = fits[c]
+        if k < len(items):
+            with_ = best[c - items[k:]] + own[k:]
+            j = int(with_.argmax())
+            if with_[j] > best[c]:
+                best[c], took[c] = with_[j], items[k + j]
     return best, took
 
 
-def fractional(n: np.ndarray, size: int, step: float = 0.15, near: float = 0.05, rounds: int = 400) -> dict[tuple[int, ...], float]:
-    """A fractional cover of the histogram ``n`` (by length): filling -> times."""
+def fillings_of(took: np.ndarray) -> Callable[[int], tuple[int, ...]]:
+    """The filling that the knapsack found for a capacity; what capacities share is built once."""
+    known: dict[int, tuple[int, ...]] = {0: ()}
+
+    def filling(c: int) -> tuple[int, ...]:
+        way = []
+        while c not in known:
+            way.append(c)
+            c -= int(took[c]) or 1
+        found = known[c]
+        for c in reversed(way):
+            known[c] = found = (int(took[c]), *found) if took[c] else found
+        return found
+
+    return filling
+
+
+def fractional(n: np.ndarray, size: int, share: float = 0.01, step: float = 0.5, near: float = 0.5, rounds: int = 200) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """A fractional cover of the histogram ``n`` (by length): filling -> times, and each length's cover (1 or more).
+
+    A length's price is its share of a sequence, lowered by exp(-step * cover) for what is covered already. In a round
+    the knapsack prices the best filling around each length, and those near the best price are raised together, those
+    around the least covered lengths first, as far as no length's cover runs more than a share ahead of the rounds.
+    What is left uncovered at the end is covered by the best fillings around it, whatever they cover twice."""
     present = np.flatnonzero(n)
-    if not len(present):
-        return {}
-    weight, done, x = np.zeros(size + 1), np.zeros(size + 1), defaultdict(float)
-    weight[present] = 1.0
-    target = np.log(len(present) + 1) / step
-    for _ in range(rounds):
+    done, x = np.zeros(size + 1), defaultdict(float)
+    items = present[::-1]
+
+    def raised(f: tuple[int, ...], need: dict[int, int], times: float) -> None:
+        x[tuple(sorted(f, reverse=True))] += times
+        for length, c in need.items():
+            done[length] += times * c / n[length]
+
+    for r in range(rounds if len(present) else 0):
+        cover = done[present]
         prices = np.zeros(size + 1)
-        prices[present] = weight[present] / n[present]
-        best, took = knapsack(prices, size)
+        prices[present] = present * np.exp(-step * (cover - cover.mean()))
+        best, took = knapsack(prices, items, size)
+        filling = fillings_of(took)
         values = prices[present] + best[size - present]
-        fillings: dict[tuple[int, ...], float] = defaultdict(float)
-        for length in present[values >= (1 - near) * values.max()]:
-            own, c = [int(length)], size - int(length)
-            while c > 0 and best[c] > 0:
-                if took[c]:
-                    own.append(int(took[c]))
-                    c -= int(took[c])
-                else:
-                    c -= 1
-            fillings[tuple(sorted(own, reverse=True))] += float(n[length]) / own.count(int(length))
-        cover = np.zeros(size + 1)
-        for f, times in fillings.items():
-            for length in f:
-                cover[length] += times / n[length]
-        scale = 1 / cover.max()
-        for f, times in fillings.items():
-            x[f] += times * scale
-        done += cover * scale
-        weight[present] *= np.exp(-step * cover[present] * scale)
-        weight /= weight.max()
-        if done[present].min() >= target:
+        allowed = np.zeros(size + 1)
+        allowed[present] = np.maximum(0, min(1.0, share * (r + 3)) - cover) * n[present]
+        fine = values >= (1 - near) * values.max()
+        for length in present[fine][np.lexsort((-present[fine], cover[fine].round(6)))].tolist():
+            if allowed[length] > 0:
+                f = (length, *filling(size - length))
+                need = {k: f.count(k) for k in f}
+                times = min(allowed[k] / c if c <= n[k] else 0 for k, c in need.items())
+                if times > 0:
+                    raised(f, need, times)
+                    for k, c in need.items():
+                        allowed[k] -= times * c
+        if done[present].min() >= 1:
             break
-    mean = float((done[present] * n[present]).sum() / n[present].sum())
-    return {f: times / mean for f, times in x.items()}
+    for length in present[np.argsort(done[present], kind="stable")].tolist():
+        if done[length] < 1:
+            f = (length, *filling(size - length))
+            need = {k: f.count(k) for k in f}
+            raised(f, need, (1 - done[length]) * float(n[length]) / need[length])
+    if len(present):
+        least = done[present].min()
+        x, done = {f: times / least for f, times in x.items()}, done / least
+    return dict(x), done
+
+
+def rounded(x: dict[tuple[int, ...], float], n: np.ndarray, size: int, share: float, most: int) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole times of about ``share`` of the fractional solution, and the pieces left: floors first, then the fillings
+    with the largest rests, while each length holds out to its share. Fillings that waste space or hold over ``most``
+    pieces are left out: the shortest pieces serve the rest better."""
+    left, took = n.copy(), defaultdict(int)
+    order = sorted((f for f in x if len(f) <= most and sum(f) >= size - size // 512), key=lambda f: (len(f), -x[f], f))
+    for up in (0.0, 0.5, 0.999):
+        for f in order:
+            need = {k: f.count(k) for k in f}
+            k = min(int(x[f] * share + up) - took[f], *((int(share * n[l] + (up > 0) * 0.999) - int(n[l] - left[l])) // c for l, c in need.items()), *(int(left[l]) // c for l, c in need.items()))
+            if k > 0:
+                took[f] += k
+                for l, c in need.items():
+                    left[l] -= k * c
+    return [(f, k) for f, k in took.items() if k], left
 
 
 def best_fit(n: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -189,27 +236,22 @@ def best_fit(n: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return [(held, times) for group in free.values() for held, times in group.items()]
 
 
-def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and times that hold exactly ``counts`` pieces of each length."""
+def plan(counts: dict[int, int], size: int, shares: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.35, 0.2)) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Fillings and times that hold exactly ``counts`` pieces of each length, and how many of the pieces are in
+    fillings of the linear program.
+
+    Several shares of the fractional solution are rounded and the rest is packed best fit; the fewest sequences count,
+    of as many the most pieces from the program. Best fit alone is tried too, so there are never more than it makes."""
     n = np.zeros(size + 1, dtype=np.int64)
     for length, times in counts.items():
         n[length] = times
-    full = [((size,), int(n[size]))] if n[size] else []
-    n[size] = 0
-    x = sorted(fractional(n, size).items(), key=lambda f: (sum(f[0]) < size, -f[1], f[0]))
-    tried = []
-    for stretch in (0.7, 0.9, 1.0, 1.1):
-        left, out = n.copy(), []
-        for f, times in x:
-            need = {length: f.count(length) for length in f}
-            k = min(int(times * stretch), *(int(left[length]) // c for length, c in need.items()))
-            if k > 0 and sum(f) >= size - max(1, size // 256):
-                out.append((f, k))
-                for length, c in need.items():
-                    left[length] -= k * c
-        out += best_fit(left, size)
-        tried.append((sum(k for _, k in out), out))
-    return full + min(tried, key=lambda t: t[0])[1]
+    x, _ = fractional(n, size)
+    tried = [(best_fit(n, size), 0)]
+    for most in (2, size):
+        for share in shares:
+            fillings, left = rounded(x, n, size, share, most)
+            tried.append((fillings + best_fit(left, size), int(n.sum() - left.sum())))
+    return min(tried, key=lambda t: (sum(k for _, k in t[0]), -t[1]))
 
 
 def places(fillings: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,14 +269,17 @@ def places(fillings: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
     return (*table.T, (table[:, 0] << 48) + table[:, 1])
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, library: str = "tiktoken", keep_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset for each piece."""
+def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, library: str = "tiktoken", keep_ids: bool = True, most_rows: int = 200_000) -> DataFrame:
+    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset for each piece.
+
+    The counters of partitions and lengths are broadcast up to ``most_rows``, counted first; beyond they are merged."""
     pieces = store(tokenized(docs, path, size, end, library, keep_ids))
     by_chunk = store(pieces.groupBy("chunk", "length").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    lengths, ranks, sequences, offsets, keys = places(plan(counts, size))
+    lengths, ranks, sequences, offsets, keys = places(plan(counts, size)[0])
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if by_chunk.count() <= most_rows else bases.hint("merge")
     ranked = pieces.join(bases, ["chunk", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("chunk", "nth", "base")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,4 +288,5 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2, library: st
             at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
             yield frame.drop(columns="rank").assign(sequence_id=sequences[at] + rank - ranks[at], offset=offsets[at])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "rank").mapInPandas(place, "doc_id string, piece int, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
