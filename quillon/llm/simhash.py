@@ -9,8 +9,9 @@ Only distinct fingerprints are compared, so a group of exact copies is one row.
 of links leaves the task, and a key with more than ``block`` fingerprints is dealt out over shards: each shard
 holds ``block`` of them and streams the others past, so no task holds an unbounded group and none is dropped.
 
-``wide`` mode (see :func:`near_groups`) takes longer fingerprints and a distance in proportion: chains of equal
-segments are the keys, which finds looser copies with a probability that the docstring gives.
+:func:`similar_kept` is the form for a similarity of texts: fingerprints of 256 bits, chains and the full distance prune
+candidate pairs that share a rare shingle, and the shingle sets of both texts decide. A distance alone can't, as one
+that keeps every pair of similarity 0.8 also holds pairs of 0.6.
 
 Defined results: a text without words (null too) has fingerprint zero and links like any other. A null doc_id keeps
 its row; it never becomes a component_id unless all ids of the component are null. Rows with the same id are rows
@@ -23,28 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, local_roots, store
-
-
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """XXH64 (seed 42) of each ``size`` words in a row, ASCII lower-cased; of all words if there are fewer."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    line, ends, at = b" ".join(w), [], 0
-    for x in w:
-        at += len(x)
-        ends.append(at)
-        at += 1
-    if len(w) <= size:
-        return np.array([xxhash.xxh64_intdigest(line, 42)], dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    starts = [0, *(e + 1 for e in ends[: len(w) - size])]
-    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends[size - 1 :], strict=True)), dtype=np.uint64, count=len(starts))
+from quillon.llm.shingle_sets import kept, pairs_of, shingle_hashes
 
 
 def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
@@ -66,16 +50,15 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4, bits: int = 64) -> DataFrame:
-    """doc_id, fp (binary, ``bits`` / 8 bytes), id (long, of the fingerprint) for each row."""
+def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+    """doc_id (as a string), fp (binary, 8 bytes), id (long, the same bits) for each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fps = [fingerprint(shingle_hashes(x, size), bits) for x in frame["text"]]
-            ids = [int.from_bytes(x, "big", signed=True) if bits == 64 else xxhash.xxh64_intdigest(x) - (1 << 63) for x in fps]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps, "id": ids})
+            fps = [fingerprint(shingle_hashes(x, size)) for x in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps, "id": [int.from_bytes(x, "big", signed=True) for x in fps]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary, id long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, fp binary, id long")
 
 
 def cuts(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -105,20 +88,6 @@ def ring_keys(fps: np.ndarray, most: int, segments: int, probes: bool = True) ->
                 yield rows, base ^ np.uint64(1 << bit), True
 
 
-def chain_keys(fps: np.ndarray, width: int, chain: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """As :func:`ring_keys` for long fingerprints: ``chain`` equal segments of ``width`` bits from every start."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    n = bits.shape[1] // width
-    weights = (1 << np.arange(width, dtype=np.uint64)).astype(np.uint64)
-    values = (bits[:, : n * width].reshape(len(fps), n, width).astype(np.uint64) * weights).sum(2, dtype=np.uint64)
-    rows = np.arange(len(fps))
-    for k in range(n):
-        key = np.full(len(fps), k, dtype=np.uint64)
-        for j in range(chain):
-            key = (key << np.uint64(width)) | values[:, (k + j) % n]
-        yield rows, key, False
-
-
 def in_ring(a: np.ndarray, b: np.ndarray, start: np.ndarray, most: int, segments: int) -> np.ndarray:
     """True where the chain from segment ``start`` keeps each of its first l segments within l * most / segments."""
     parts = cuts(64, segments)
@@ -130,41 +99,28 @@ def in_ring(a: np.ndarray, b: np.ndarray, start: np.ndarray, most: int, segments
     return fine
 
 
-def _compare(held: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray, start: np.ndarray, most: int, segments: int) -> np.ndarray:
-    if held.shape[1] == 1 and segments:
-        fine = in_ring(held[i, 0], other[j, 0], start, most, segments)
-        i, j = i[fine], j[fine]
-        full = np.bitwise_count(held[i, 0] ^ other[j, 0]) <= most
-        fine[fine] = full
-        return fine
-    return np.bitwise_count(held[i] ^ other[j]).sum(1) <= most
-
-
-def _pairs(n_held: np.ndarray, at_held: np.ndarray, n_other: np.ndarray, at_other: np.ndarray, most_pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All (group, held row, other row) of groups given by sizes and first rows, in pieces of bounded size."""
-    sizes = n_held * n_other
-    order = np.concatenate(([0], np.cumsum(sizes)))
-    for lo in range(0, int(order[-1]), most_pairs):
-        x = np.arange(lo, min(lo + most_pairs, int(order[-1])))
-        g = np.searchsorted(order, x, side="right") - 1
-        r = x - order[g]
-        yield g, at_held[g] + r // n_other[g], at_other[g] + r % n_other[g]
-
+def ring_of_words(differ: np.ndarray, most: int, chain: int = 4) -> np.ndarray:
+    """True where some chain of ``chain`` bytes of the differing bits (rows of 64-bit words) keeps each of its first l
+    bytes within l * most / bytes: by the pigeonring principle none of ``most`` differing bits or fewer fails."""
+    bits = np.bitwise_count(np.ascontiguousarray(differ).view(np.uint8)).astype(np.int32)
+    segments = bits.shape[1]
+    total, fine = np.zeros_like(bits), np.ones(bits.shape, dtype=bool)
+    for length in range(1, chain + 1):
+        total += np.roll(bits, 1 - length, axis=1)
+        fine &= total * segments <= length * most
+    return fine.any(axis=1)
 
-def links(distinct: DataFrame, most: int, bits: int = 64, segments: int = 5, width: int = 4, chain: int = 4, block: int = 2048) -> DataFrame:
-    """Spanning links (a, b: ids) of the rows (id long, fp binary) of ``distinct`` that lie within ``most`` bits.
 
-    ``segments`` = 0 takes chains of ``chain`` equal segments of ``width`` bits instead of the ring's budgets.
-    """
-    words = bits // 64
+def links(distinct: DataFrame, most: int, segments: int = 5, block: int = 2048) -> DataFrame:
+    """Spanning links (a, b: ids) of the rows (id long, fp binary) of ``distinct`` that lie within ``most`` bits."""
 
     def keys(frames: Iterator[pd.DataFrame], probes: bool = True) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), 4096):
                 part = frame.iloc[lo : lo + 4096]
-                fps = unpacked(part["fp"], words)
+                fps = unpacked(part["fp"], 1)
                 ids, raw = part["id"].to_numpy(), part["fp"].to_numpy()
-                for rows, key, probe in ring_keys(fps[:, 0], most, segments, probes) if segments else chain_keys(fps, width, chain):
+                for rows, key, probe in ring_keys(fps[:, 0], most, segments, probes):
                     yield pd.DataFrame({"key": key.view(np.int64), "probe": probe, "id": ids[rows], "fp": raw[rows]})
 
     def held_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +148,7 @@ def links(distinct: DataFrame, most: int, bits: int = 64, segments: int = 5, wid
             if carried is not None and len(carried):
                 frame = pd.concat([carried, frame], ignore_index=True)
             n_old = 0 if carried is None else len(carried)
-            fps = unpacked(frame["fp"], words)
+            fps = unpacked(frame["fp"], 1)[:, 0]
             ids, key, shard = frame["id"].to_numpy(), frame["key"].to_numpy(), frame["shard"].to_numpy()
             other = frame["other"].to_numpy(dtype=bool)
             new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))))
@@ -204,10 +160,12 @@ def links(distinct: DataFrame, most: int, bits: int = 64, segments: int = 5, wid
             n_second = np.maximum(new + n - first, 0)
             use = (n_held > 0) & (n_second > 0)
             roots = np.arange(len(ids))
-            for g, i, j in _pairs(n_held[use], new[use], n_second[use], first[use]):
+            for g, i, j in pairs_of(n_held[use], new[use], n_second[use], first[use]):
                 ahead = i < j
                 g, i, j = g[ahead], i[ahead], j[ahead]
-                fine = _compare(fps, fps, i, j, start[use][g], most, segments)
+                fine = in_ring(fps[i], fps[j], start[use][g], most, segments)
+                i, j = i[fine], j[fine]
+                fine = np.bitwise_count(fps[i] ^ fps[j]) <= most
                 roots = local_roots(len(ids), i[fine], j[fine], roots)
             moved = np.flatnonzero((roots != np.arange(len(ids))) & (ids != ids[roots]))
             if len(moved):
@@ -217,16 +175,12 @@ def links(distinct: DataFrame, most: int, bits: int = 64, segments: int = 5, wid
     return dealt.mapInPandas(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, size: int = 4, most: int = 4, bits: int = 64, segments: int = 5, block: int = 2048) -> DataFrame:
-    """doc_id, fp, component_id for each row of ``docs``: components over links of fingerprints within ``most`` bits.
-
-    With 64 bits every link is found: some segment of the five starts a chain within budget. With more bits a key is
-    a chain of four equal segments of four bits, and a pair that differs in d bits shares one with probability about
-    1 - (1 - (1 - d / bits)**16)**(bits / 4): for 256 bits over 0.9 at a seventh, and near 1 at a tenth.
-    """
-    rows = store(fingerprints(docs, size, bits))
+def near_groups(docs: DataFrame, size: int = 4, most: int = 4, segments: int = 5, block: int = 2048) -> DataFrame:
+    """doc_id, fp, component_id for each row of ``docs``: components over links of fingerprints within ``most`` bits."""
+    kind = docs.schema["doc_id"].dataType
+    rows = store(fingerprints(docs, size).withColumn("doc_id", F.col("doc_id").cast(kind)))
     distinct = store(rows.groupBy("fp", "id").agg(F.min("doc_id").alias("doc_id")))
-    found = components(links(distinct.select("id", "fp"), most, bits, segments if bits == 64 else 0, block=block))
+    found = components(links(distinct.select("id", "fp"), most, segments, block))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = store(named.join(least, "root").select("fp", "component_id"))
@@ -234,5 +188,43 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4, bits: int = 64, s
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits for 64 bits, highest byte first), component_id."""
+    """doc_id, fingerprint (16 hex digits, highest byte first), component_id."""
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+#: Bits of the fingerprints and the largest distance of a candidate, and bits of the parity sketch.
+WIDE, WIDE_MOST, PARITY = 256, 64, 512
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Fingerprint of ``WIDE`` bits and parities of the number of shingles in ``PARITY`` buckets, in one."""
+    parity = np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return fingerprint(shingles, WIDE) + np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """False for pairs of sketches (rows of words) and set sizes that aren't of similarity 4/5.
+
+    Chains of the fingerprints, then their full distance, then the parities: they differ in at most as many buckets as
+    there are shingles of one set alone, which is a ninth of both sizes at most. Sets under 32 shingles are too short for a
+    distance of fingerprints to tell and go by the parities."""
+    words = WIDE // 64
+    fine = 9 * np.minimum(n_a, n_b) >= 4 * (n_a + n_b)
+    at = np.flatnonzero(fine)
+    differ = a[at] ^ b[at]
+    long_ = np.minimum(n_a[at], n_b[at]) >= 32
+    near = ~long_ | ring_of_words(differ[:, :words], WIDE_MOST)
+    near[near] = ~long_[near] | (np.bitwise_count(differ[near][:, :words]).sum(1, dtype=np.int64) <= WIDE_MOST)
+    near &= 9 * np.bitwise_count(differ[:, words:]).sum(1, dtype=np.int64) <= n_a[at] + n_b[at]
+    fine[at] = near
+    return fine
+
+
+def similar_kept(rows: DataFrame, rid: str, size: int = 5) -> DataFrame:
+    """The row id (as ``rid``) of one row of each group of rows of word-shingle similarity 0.8 or more and what that
+    joins: the smallest doc_id, null last, then the smallest row id.
+
+    Candidates share a shingle of their rare ones (see ``shingle_sets``), which misses no pair. The fingerprints' chains and
+    distance prune them; a pair of similarity 0.8 differs in 39 of 256 bits on average, with a deviation of 6, so one over
+    64 is a matter of some in a million. What is left is decided by the sets."""
+    return kept(rows, rid, size, sketch, may_be_similar)

@@ -76,8 +76,39 @@ def test_dense_ball_and_hot_keys(spark):
         assert [top(i) for i in range(len(fps))] == want
 
 
-def test_long_fingerprints_find_looser_copies(spark):
-    docs = cases.documents(spark)
-    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, size=5, most=56, bits=256).collect()}
-    assert all(got[100 + k] == got[k] for k in range(8))
-    assert sum(got[200 + k] == got[k] for k in range(10, 18)) >= 1
+def test_chains_of_long_fingerprints_drop_no_pair_in_range():
+    """Every pair within the limit passes, whatever the bits; pairs of half the bits nearly never do."""
+    r = np.random.default_rng(5)
+    for flips in (1, 17, 40, 63, 64):
+        differ = np.zeros((2000, 256), dtype=np.uint8)
+        for row in differ:
+            row[r.permutation(256)[:flips]] = 1
+        words = np.packbits(differ, axis=1).view(np.uint64)
+        assert simhash.ring_of_words(words, 64).all()
+    unlike = r.integers(0, 1 << 63, (4000, 4), dtype=np.int64).view(np.uint64)
+    assert simhash.ring_of_words(unlike, 64).mean() < 0.2
+
+
+def test_sketches_keep_pairs_of_similarity_four_fifths():
+    r = np.random.default_rng(6)
+    kept, unlike = 0, 0
+    for k in range(600):
+        n = int(r.integers(5, 400))
+        own = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        gone = int(r.integers(0, len(own) // 9 + 1))
+        a = own[: len(own) - gone] if gone else own
+        b = np.unique(np.concatenate([own[gone:], r.integers(0, 1 << 62, 0).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        words = lambda x: np.frombuffer(simhash.sketch(x), dtype="<u8")[None, :]
+        fine = simhash.may_be_similar(words(a), words(b), np.array([len(a)]), np.array([len(b)]))[0]
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert fine
+            kept += 1
+        c = np.unique(r.integers(0, 1 << 62, len(a)).astype(np.uint64))
+        unlike += simhash.may_be_similar(words(a), words(c), np.array([len(a)]), np.array([len(c)]))[0]
+    assert kept > 200 and unlike == 0
+
+
+def test_ids_keep_their_value_beside_a_null(spark):
+    docs = spark.createDataFrame([((1 << 53) + 1, "some words"), (None, "more words"), (7, None)], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()} == {((1 << 53) + 1, (1 << 53) + 1), (None, None), (7, 7)}
