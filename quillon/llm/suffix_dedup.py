@@ -8,11 +8,14 @@ other and form its context, some ``2 * width`` bytes.
 
 Contexts of a repeated anchor are made distinct first (a passage copied a million times is one row). A task then
 takes contexts by the million bytes, sorts their suffixes to a depth of ``width`` bytes by prefix doubling, and
-reads the longest previous factor off the order: with ties in order of place, the previous smaller position of a
-suffix is its predecessor in the run of equal prefixes, and the next one gives the later match. Bytes decide there;
-hashes only choose what meets. The windows of an anchor with more than ``warm`` distinct contexts are dealt into parts
-by the anchor's place in them. Beyond ``hot`` contexts they are spread by their own 128-bit digests with partial sums
-instead, so no task takes an unbounded group.
+builds the arrays of longest previous and longest next factors: in suffix order, the nearest suffix on either side
+that starts earlier (or later) shares the longest prefix with it of all that do. Bytes decide there; hashes only
+choose what meets. A window is repeated if one of its two factors is as long as it is.
+
+An anchor with more than ``warm`` distinct contexts is told apart further: its windows reach ``GRAM`` bytes or more
+beyond it on one side, so the part of a context with the windows that reach to the left meets only parts with the
+same bytes there, and so on the right. Parts that are equal are one row again. If more than ``hot`` distinct parts
+still meet, their windows are grouped by their bytes with partial sums, so no task takes an unbounded group.
 
 All sides of the joins grow with the corpus, so they are sort-merged at every size.
 
@@ -35,8 +38,6 @@ from pyspark.sql import functions as F
 from quillon.llm.common import store
 
 GRAM = 64
-#: Parts that the windows of an anchor with many contexts are dealt into.
-SHARDS = 8
 #: An odd multiplier and its inverse, for rolling hashes in arithmetic modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -136,11 +137,12 @@ def all_anchors(texts: list[bytes], width: int, most: int = 1 << 18) -> tuple[np
     return number[who], h, first + start[who], n, off
 
 
-def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """Rank of the suffix at each place by its first ``width`` bytes (at least 8, padded with zeros at the end)."""
+def suffix_ranks(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Rank of the suffix at each place by its first ``width`` bytes (at least 8, padded with zeros at the end); the first
+    eight bytes as a number; and the ranks by 8, 16, 32, ... bytes."""
     n = len(data)
-    padded = np.concatenate((data, np.zeros(width + 8, np.uint8))).astype(np.uint64)
-    m = n + width
+    padded = np.concatenate((data, np.zeros(2 * width + 8, np.uint8))).astype(np.uint64)
+    m = n + 2 * width
     key = np.zeros(m, dtype=np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + m]
@@ -148,40 +150,76 @@ def suffix_ranks(data: np.ndarray, width: int) -> np.ndarray:
     def ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         inorder = key[order]
-        rank = np.empty(len(key), dtype=np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([0], inorder[1:] != inorder[:-1]))).astype(np.uint64)
+        rank = np.empty(len(key), dtype=np.uint32)
+        rank[order] = np.cumsum(np.concatenate(([0], inorder[1:] != inorder[:-1]))).astype(np.uint32)
         return rank
 
-    rank, depth = ranked(key), 8
+    rank, depth, levels = ranked(key), 8, {}
     while depth < width:
+        levels[depth] = rank
         step = min(depth, width - depth)
-        rank = ranked((rank[: len(rank) - step] << np.uint64(32)) | rank[step:])
+        rank = ranked((rank[: len(rank) - step].astype(np.uint64) << np.uint64(32)) | rank[step:])
         depth += step
-    return rank[:n]
+    return rank[:n], key, levels
+
 
+def common_prefix(key: np.ndarray, levels: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+    """Bytes that the suffixes at ``i`` and ``j`` share at their start, counted up to ``width``."""
+    shared = np.zeros(len(i), dtype=np.int64)
+    for depth in sorted(levels, reverse=True):
+        shared += np.where(levels[depth][i + shared] == levels[depth][j + shared], depth, 0)
+    differ = key[i + shared] ^ key[j + shared]
+    for k in range(8):
+        shared += differ < np.uint64(1) << np.uint64(8 * k)
+    return np.minimum(shared, width)
 
-def previous_and_next_factors(rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor of each place, counted up to ``width``: whole or nothing.
 
-    ``rank``: suffix ranks to that depth. In suffix order with ties by place, runs of equal rank are in order of
-    place, so the previous smaller position within reach is the predecessor, if the run has one."""
-    order = np.argsort(rank, kind="stable")
-    equal = rank[order][1:] == rank[order][:-1]
-    lpf, lnf = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-    lpf[order[1:]] = np.where(equal, width, 0)
-    lnf[order[:-1]] = np.where(equal, width, 0)
-    return lpf, lnf
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """For each value the place of the nearest one before it that is smaller, or -1: pointers jump over what is larger."""
+    n = len(x)
+    at = np.arange(-1, n - 1)
+    held = np.concatenate((x, [np.iinfo(x.dtype).min]))  # place -1
+    open_ = np.flatnonzero(held[at] >= x)
+    while len(open_):
+        at[open_] = at[at[open_]]
+        open_ = open_[held[at[open_]] >= x[open_]]
+    return at
+
+
+def factors(places: np.ndarray, rank: np.ndarray, key: np.ndarray, levels: dict[int, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor at each of ``places`` (in order), counted up to ``width``: the most bytes
+    there that also stand at an earlier (later) one of the places.
+
+    In suffix order, with ties in order of place, of all earlier suffixes the one with the longest common prefix is the
+    nearest one before or the nearest one behind that starts earlier."""
+    order = np.argsort(rank[places], kind="stable")
+    own = places[order]
+
+    def longest(x: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(x), dtype=np.int64)
+        for side in (1, -1):
+            near = nearest_smaller(x[::side])
+            has = np.flatnonzero(near >= 0)
+            i, j = own[::side][has], own[::side][near[has]]
+            part = np.zeros(len(x), dtype=np.int64)
+            part[has] = common_prefix(key, levels, i, j, width)
+            found = np.maximum(found, part[::side])
+        out = np.empty_like(found)
+        out[order] = found
+        return out
+
+    return longest(own), longest(-own)
 
 
 def repeated_windows(contexts: list[bytes], width: int) -> list[np.ndarray]:
     """For each context its windows (numbers) that are equal to another window of any of the contexts."""
     lengths = np.array([len(x) for x in contexts])
     data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    rank = suffix_ranks(data, width)
+    rank, key, levels = suffix_ranks(data, width)
     firsts = np.cumsum(lengths) - lengths
     n = lengths - width + 1
     places = np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    lpf, lnf = previous_and_next_factors(rank[places], width)
+    lpf, lnf = factors(places, rank, key, levels, width)
     again = (lpf >= width) | (lnf >= width)
     return [np.flatnonzero(x) for x in np.split(again, np.cumsum(n)[:-1])]
 
@@ -194,7 +232,7 @@ def runs(windows: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(windows[np.concatenate(([0], gap + 1))].tolist(), windows[np.concatenate((gap, [len(windows) - 1]))].tolist(), strict=True))
 
 
-def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 << 16, block: int = 1 << 21) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, warm: int = 64, hot: int = 1 << 15, block: int = 1 << 19) -> DataFrame:
     """Marks for texts: t1, t2 (the text's digest), whole (it occurs as a whole again), spans (array<struct<first,
     last>> of windows that occur again). Texts without a mark have no row."""
     t1, t2 = F.xxhash64("text"), F.crc32(F.col("text").cast("binary")) * (1 << 31) + F.octet_length("text")
@@ -231,15 +269,30 @@ def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 <<
     sizes = store(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     several = distinct.join(sizes.hint("merge"), "h")
     # A context that occurs again is repeated throughout; the others need a partner of another context.
-    cold = several.where(f"n <= {warm}").select("h", F.lit(0).alias("shard"), "c", F.lit(0).alias("base"), "context", "again")
-    # Equal windows have their anchor at the same place, so a warm anchor's windows are dealt out by that place.
-    step = -(-(width - GRAM + 1) // SHARDS)
-    low, high = F.greatest(F.lit(0), F.col("off") - (F.col("shard") + 1) * step + 1), F.least(F.octet_length("context") - width, F.col("off") - F.col("shard") * step)
-    dealt = several.where(f"n > {warm} and n <= {hot}").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
-    dealt = dealt.withColumns({"base": low, "end": high}).where("base <= end").select("h", "shard", "c", "base", F.substring("context", F.col("base") + 1, F.col("end") - F.col("base") + width).alias("context"), "again")
-    alone = cold.unionByName(dealt).repartition("h", "shard").sortWithinPartitions("h", "shard")
+    none = F.lit(0).cast("long")
+    cold = several.where(f"n <= {warm}").select("h", F.lit(0).alias("side"), none.alias("key"), "c", "context", "again")
+    # The windows whose anchor stands ``half`` bytes or more behind their start hold the bytes to its left, the others those to its right.
+    half = (width - GRAM) // 2
+    beside = min(GRAM, half)
+    length, off = F.octet_length("context"), F.col("off")
+    left = F.struct(F.lit(1).alias("side"), F.xxhash64(F.substring("context", off - beside + 1, F.lit(beside))).alias("key"), F.lit(0).alias("base"), F.least(off - half, length - width).alias("end"))
+    right = F.struct(F.lit(2).alias("side"), F.xxhash64(F.substring("context", off + GRAM + 1, F.lit(beside))).alias("key"), F.greatest(F.lit(0), off - half + 1).alias("base"), (length - width).alias("end"))
+    sides = several.where(f"n > {warm}").withColumn("s", F.explode(F.array(left, right))).where("s.base <= s.end")
+    part = F.substring("context", F.col("s.base") + 1, F.col("s.end") - F.col("s.base") + width)
+    dealt = store(sides.select("h", "s.side", "s.key", "c", "s.base", "again", part.alias("part")).withColumn("p", F.xxhash64("part")))
+    group = ["h", "side", "key"]
+    parts = store(dealt.groupBy(*group, "p", "part").agg((F.max("again") | (F.min("c") != F.max("c"))).alias("again")))
+    met = store(parts.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1"))
+    some = parts.join(met.hint("merge"), group)
+    warmed = some.where(f"n <= {hot}").select(*group, F.col("p").alias("c"), F.col("part").alias("context"), "again")
+    alone = store(cold.unionByName(warmed))
+    size = alone.agg(F.sum(F.octet_length("context")).alias("n")).first().n or 0
+    # A number of its own, as it is the sorting that takes time, not the bytes.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * block)))
+    alone = alone.repartition(tasks, *group).sortWithinPartitions(*group)
 
     def sort(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole groups together, by ``block`` bytes or more."""
         held: list[pd.DataFrame] = []
         size = 0
         for frame in frames:
@@ -247,7 +300,8 @@ def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 <<
             size += frame["context"].map(len).sum()
             if size >= block:
                 every = pd.concat(held, ignore_index=True)
-                cut_at = int(((every["h"] != every["h"].iloc[-1]) | (every["shard"] != every["shard"].iloc[-1])).sum())
+                last = (every[group] != every[group].iloc[-1]).any(axis=1).to_numpy()
+                cut_at = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
                 if cut_at:
                     yield from solve(every.iloc[:cut_at])
                 held = [every.iloc[cut_at:]]
@@ -256,28 +310,31 @@ def repeats(docs: DataFrame, width: int = 200, warm: int = 256, hot: int = 1 <<
             yield from solve(pd.concat(held, ignore_index=True))
 
     def solve(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        sizes_ = frame["context"].map(len).to_numpy()
-        edges = np.flatnonzero(np.diff(np.cumsum(sizes_) // (2 * block), prepend=0)) if len(frame) else []
-        # Cut at groups only, so that all contexts of an anchor are sorted together.
-        group = (frame[["h", "shard"]].to_numpy()[1:] != frame[["h", "shard"]].to_numpy()[:-1]).any(axis=1)
-        heads = np.concatenate(([0], np.flatnonzero(group) + 1))
-        firsts = [*sorted({0, *(int(heads[np.searchsorted(heads, e, side="right") - 1]) for e in edges)}), len(frame)]
+        if not len(frame):
+            return
+        ids = frame[group].to_numpy()
+        heads = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1))
+        ends = np.cumsum(frame["context"].map(len).to_numpy())
+        before = np.concatenate(([0], ends))[heads]
+        # Cut at groups only, so that all contexts of one are sorted together.
+        firsts = [*heads[np.flatnonzero(np.diff(before // block, prepend=-1))].tolist(), len(frame)]
         for lo, hi in zip(firsts, firsts[1:], strict=False):
-            part = frame.iloc[lo:hi]
-            if not len(part):
-                continue
-            out = [(h, c, base + a, base + z) for h, c, base, again_, own in zip(part["h"], part["c"], part["base"], part["again"], repeated_windows(list(part["context"]), width), strict=True) if not again_ for a, z in runs(own)]
+            own = frame.iloc[lo:hi]
+            out = [(*g, c, a, z) for g, c, again_, x in zip(own[group].itertuples(index=False, name=None), own["c"], own["again"], repeated_windows(list(own["context"]), width), strict=True) if not again_ for a, z in runs(x)]
             if out:
-                yield pd.DataFrame(out, columns=["h", "c", "first", "last"])
-
-    sorted_ = alone.mapInPandas(sort, "h long, c long, first int, last int")
-    windows = several.where(f"n > {hot}").select("h", "c", "again", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - width)).alias("w"))
-    windows = windows.select("h", "c", "again", "w", F.md5(F.substring("context", F.col("w") + 1, F.lit(width))).alias("d"))
-    place_w = F.struct("c", "w")
-    twice = store(windows.groupBy("d").agg(F.min(place_w).alias("a"), F.max(place_w).alias("z")).where("a != z").select("d"))
-    spread = windows.where("not again").join(twice, "d").select("h", "c", F.col("w").alias("first"), F.col("w").alias("last"))
+                yield pd.DataFrame(out, columns=[*group, "c", "first", "last"])
+
+    sorted_ = store(alone.mapInPandas(sort, "h long, side int, key long, c long, first int, last int"))
+    windows = some.where(f"n > {hot}").select(*group, "p", "again", "part", F.explode(F.sequence(F.lit(0), F.octet_length("part") - width)).alias("w"))
+    windows = windows.select(*group, "p", "again", "w", F.substring("part", F.col("w") + 1, F.lit(width)).alias("bytes"))
+    place_w = F.struct(*group, "p", "w")
+    twice = store(windows.groupBy("bytes").agg(F.min(place_w).alias("a"), F.max(place_w).alias("z")).where("a != z").select("bytes"))
+    spread = windows.where("not again").join(twice.hint("merge"), "bytes").select(*group, "p", F.col("w").alias("first"), F.col("w").alias("last"))
+    whole_part = parts.where("again").select(*group, "p", F.lit(0).alias("first"), (F.octet_length("part") - width).alias("last"))
+    in_parts = sorted_.where("side > 0").withColumnRenamed("c", "p").unionByName(spread).unionByName(whole_part)
+    of_parts = dealt.where("not again").select(*group, "p", "c", "base").join(in_parts.hint("merge"), [*group, "p"]).select("h", "c", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
     whole_context = distinct.where("again").select("h", "c", F.lit(0).alias("first"), (F.octet_length("context") - width).alias("last"))
-    marks = store(sorted_.unionByName(spread).unionByName(whole_context))
+    marks = store(sorted_.where("side = 0").select("h", "c", "first", "last").unionByName(of_parts).unionByName(whole_context))
     spans = places.select("h", "c", "t1", "t2", "at").join(marks.hint("merge"), ["h", "c"]).select("t1", "t2", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")).alias("span"))
     twin = texts.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(True).alias("whole"), F.lit(None).cast("struct<first:int,last:int>").alias("span"))
     every = spans.select("t1", "t2", F.lit(False).alias("whole"), "span").unionByName(twin)
@@ -299,7 +356,7 @@ def removed(n: int, whole: bool, spans: list, width: int) -> list[tuple[int, int
 
 def dedupe(docs: DataFrame, width: int = 200, keep_bytes: bool = True, **how) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of removed bytes), kept (binary, or null), kept_sha256 for each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marks = repeats(rows, width, **how)
     keyed = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.crc32(F.col("text").cast("binary")) * (1 << 31) + F.octet_length("text")})
 
@@ -314,11 +371,12 @@ def dedupe(docs: DataFrame, width: int = 200, keep_bytes: bool = True, **how) ->
                     kept.append(raw[at:a])
                     at = b
                 left = b"".join([*kept, raw[at:]])
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(raw), [{"start": a, "end": b} for a, b in gone], left if keep_bytes else None, hashlib.sha256(left).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, len(raw), [{"start": a, "end": b} for a, b in gone], left if keep_bytes else None, hashlib.sha256(left).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept", "kept_sha256"])
 
     joined = keyed.join(marks.hint("merge"), ["t1", "t2"], "left").select("doc_id", "text", "whole", "spans")
-    return joined.mapInPandas(take, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string")
+    found = joined.mapInPandas(take, "doc_id string, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def digest(found: DataFrame) -> DataFrame:

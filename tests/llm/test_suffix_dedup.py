@@ -48,7 +48,7 @@ def passages(n=40, seed=2):
 def test_against_brute_force(spark):
     docs = cases.documents(spark).select("doc_id", "text").union(spark.createDataFrame(passages(), "doc_id long, text string")).repartition(6)
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 200)
-    for warm, hot in ((256, 1 << 16), (3, 1 << 16), (3, 5)):
+    for warm, hot in ((256, 1 << 16), (3, 1 << 16), (3, 2)):
         got = suffix_dedup.digest(suffix_dedup.dedupe(docs, warm=warm, hot=hot, block=1 << 14)).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == want
     assert suffix_dedup.dedupe(cases.empty(spark)).collect() == []
@@ -66,17 +66,34 @@ def test_long_texts_are_taken_in_parts():
     assert of(whole) == of(parts)
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.text("ab", min_size=12, max_size=40), min_size=1, max_size=5))
-def test_ranks_and_factors(texts):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("ab", min_size=12, max_size=40), min_size=1, max_size=5), st.sampled_from([9, 12, 30]))
+def test_ranks_and_factors(texts, width):
+    """Suffix order, and the lengths of the longest previous and next factors, of all places and of some of them."""
     data = "".join(texts).encode()
-    rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), 12)
-    padded = data + bytes(12)
+    rank, key, levels = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), width)
+    padded = data + bytes(3 * width)
     for i in range(len(data)):
         for j in range(0, len(data), 7):
-            assert (rank[i] < rank[j]) == (padded[i : i + 12] < padded[j : j + 12])
-    lpf, lnf = suffix_dedup.previous_and_next_factors(rank, 12)
-    for i in range(len(data)):
-        x = padded[i : i + 12]
-        assert (lpf[i] == 12) == any(padded[j : j + 12] == x for j in range(i))
-        assert (lnf[i] == 12) == any(padded[j : j + 12] == x for j in range(i + 1, len(data)))
+            assert (rank[i] < rank[j]) == (padded[i : i + width] < padded[j : j + width])
+
+    def shared(i, j):
+        return next((k for k in range(width) if padded[i + k] != padded[j + k]), width)
+
+    for places in (range(len(data)), range(0, len(data), 3)):
+        lpf, lnf = suffix_dedup.factors(np.array(places), rank, key, levels, width)
+        for at, i in enumerate(places):
+            assert lpf[at] == max((shared(i, j) for j in places if j < i), default=0)
+            assert lnf[at] == max((shared(i, j) for j in places if j > i), default=0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=60))
+def test_nearest_smaller(x):
+    got = suffix_dedup.nearest_smaller(np.array(x, dtype=np.int64)).tolist()
+    assert got == [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(len(x))]
+
+
+def test_ids_keep_their_value_beside_a_null(spark):
+    docs = spark.createDataFrame([((1 << 53) + 1, "some words"), (None, "more words"), (7, None)], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.n_bytes) for r in suffix_dedup.dedupe(docs).collect()} == {((1 << 53) + 1, 10), (None, 10), (7, 0)}
