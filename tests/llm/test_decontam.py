@@ -52,6 +52,25 @@ def test_empty_tables(spark):
 @given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=9), max_size=6))
 def test_search(text, items):
     named = [(str(k), " ".join(x)) for k, x in enumerate(items)]
-    found = decontam.Searcher(decontam.windows(named, 4)).find([x.encode() for x in text])
+    found = decontam.Searcher(named, 4).find([x.encode() for x in text])
     hits = {k for start, m, _ in found for k in range(start, start + m)}
     assert len(hits) == brute(" ".join(text), named, 4)[1]
+
+
+def test_ids_keep_their_value_beside_a_null(spark):
+    docs = spark.createDataFrame([((1 << 53) + 1, "some words"), (None, "more words"), (7, None)], "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame([(1, "some words"), (2, "other")], "item_id long, text string")
+    for block in (1 << 20, 3):
+        got = decontam.digest(decontam.contamination(docs, benchmark, block_bytes=block)).collect()
+        assert {(r.doc_id, r.contaminated) for r in got} == {((1 << 53) + 1, True), (None, False), (7, False)}
+
+
+def test_tables_of_a_block_stay_small():
+    import tracemalloc
+
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(40_000))
+    tracemalloc.start()
+    decontam.Searcher([("x", text)], 10)
+    assert tracemalloc.get_traced_memory()[0] < 150 * len(text)
+    tracemalloc.stop()
