@@ -1,9 +1,11 @@
 """Embedding near-duplicates: PCA-ordered tiled comparison of all vectors by cosine.
 
 Unit vectors are turned into the basis of their principal components (fitted on a bounded sample; the basis only
-changes speed, never a result). Rows are range-partitioned by the leading component and packed into strips of about
-``strip`` rows; a pair of strips meets in one task, unless their ranges lie too far apart for the threshold:
-unit vectors of cosine t differ by at most sqrt(2 - 2 t) in any coordinate. In a task, the leading dimensions are
+changes speed, never a result). Rows are range-partitioned by the leading component, sorted by the second within each
+part, and packed into strips of about ``strip`` rows that know their range in each of some leading components. A pair of
+strips meets in one task, unless their boxes lie too far apart for the threshold: unit vectors of cosine t are
+sqrt(2 - 2 t) apart at most, in any of the dimensions together. The pairs are found by a join of the strips' boxes on
+steps of the leading component, so the driver holds none of them. In a task, the leading dimensions are
 multiplied first; what is left of the product is bounded by the product of the suffix norms, and pairs that can't
 reach the threshold stop there. The rest is compared over more dimensions, then in double precision on the
 original unit vectors, which alone decides.
@@ -65,21 +67,31 @@ def compare(a: Strip, b: Strip, least: float, tile: int = 1024) -> Iterator[tupl
             i, j = i + lo, j + lo2
             if same:
                 i, j = i[i < j], j[i < j]
-            for done, upto in zip(a.stages, a.stages[1:-1], strict=False):
-                if len(i) > 4096:
-                    break
-                dot = np.einsum("ij,ij->i", a.turned[i, :upto], b.turned[j, :upto])
-                fine = dot + a.rest[i, upto - 1] * b.rest[j, upto - 1] >= least - SLACK
-                i, j = i[fine], j[fine]
             for k in range(0, len(i), 1 << 15):
                 p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                for upto in a.stages[1:-1]:
+                    dot = np.einsum("ij,ij->i", a.turned[p, :upto], b.turned[q, :upto])
+                    fine = dot + a.rest[p, upto - 1] * b.rest[q, upto - 1] >= least - SLACK
+                    p, q = p[fine], q[fine]
                 fine = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= least
                 yield p[fine], q[fine]
 
 
-def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 2048, sample: int = 4096) -> DataFrame:
+def meetings(packs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of packs, a <= b, whose boxes (d, low, high) are in reach of each other."""
+    reach = float(np.sqrt(2 - 2 * least)) + SLACK
+    step = max(reach, 1e-3)
+    boxes = packs.select("pack", "d", "low", "high")
+    cell = lambda c, by=0.0: F.floor((c + by) / step)
+    one = boxes.select(F.col("pack").alias("a"), "d", F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
+    two = boxes.select(F.col("pack").alias("b"), "d", F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell(F.col("low")[0], -reach), cell(F.col("high")[0], reach))).alias("cell"))
+    gaps = F.transform(F.arrays_zip("low_a", "high_a", "low_b", "high_b"), lambda x: F.greatest(F.lit(0.0), x["low_a"] - x["high_b"], x["low_b"] - x["high_a"]))
+    far = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
+    return one.join(two, ["d", "cell"]).where((F.col("a") <= F.col("b")) & (far <= reach * reach)).select("a", "b").distinct()
+
+
+def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample: int = 4096, lead: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
     base = store(numbered(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = base.where(F.col("v").isNotNull() & (F.size("v") > 0) & whole & F.exists("v", lambda x: x != 0))
@@ -91,39 +103,46 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 2048, sample
     def axes(d: int) -> np.ndarray:
         return shared[d] if d in shared else np.eye(d)
 
-    def lead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for d, part in frame.groupby(frame["v"].map(len)):
                 x = unit(part["v"].tolist())
-                yield pd.DataFrame({"rid": part["rid"].to_numpy(), "d": int(d), "first": x @ axes(d)[:, 0], "x": [r.tobytes() for r in x]})
+                y = x @ axes(d)[:, :lead]
+                yield pd.DataFrame({"rid": part["rid"].to_numpy(), "d": int(d), "first": y[:, 0], "second": y[:, min(1, d - 1)], "x": [r.tobytes() for r in x]})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Neighbours of one length by ``strip`` rows, over the batches' ends."""
+        held: list[pd.DataFrame] = []
+
+        def packed() -> pd.DataFrame:
+            rows = pd.concat(held)
+            d = int(rows["d"].iloc[0])
+            raw = b"".join(rows["x"])
+            y = np.frombuffer(raw).reshape(-1, d) @ axes(d)[:, :lead]
+            return pd.DataFrame({"d": [d], "low": [y.min(0)], "high": [y.max(0)], "n": [len(rows)], "ids": [rows["rid"].to_numpy(np.int64).tobytes()], "x": [raw]})
+
         for frame in frames:
             for d, part in frame.groupby("d"):
-                for lo in range(0, len(part), strip):
-                    x = part.iloc[lo : lo + strip]
-                    yield pd.DataFrame({"d": [int(d)], "low": [x["first"].min()], "high": [x["first"].max()], "n": [len(x)], "ids": [x["rid"].to_numpy(np.int64).tobytes()], "x": [b"".join(x["x"])]})
-
-    turned = store(fit.select("rid", "v").mapInPandas(lead, "rid long, d int, first double, x binary"))
-    n = turned.count()
-    ordered = turned.repartitionByRange(max(1, -(-n // strip)), "d", "first", "rid").sortWithinPartitions("d", "first")
-    packs = store(numbered(ordered.mapInPandas(pack, "d int, low double, high double, n long, ids binary, x binary"), "pack"))
-    # A row of five numbers for every pack: packs join into strips of about ``strip`` rows, in order.
-    meta = packs.select("pack", "d", "low", "high", "n").toPandas().sort_values(["d", "low", "pack"])
-    strips: list[list] = []
-    where = {}
-    for x in meta.itertuples(index=False):
-        if not strips or strips[-1][0] != x.d or strips[-1][3] + x.n > strip:
-            strips.append([x.d, x.low, x.high, 0])
-        strips[-1][2], strips[-1][3] = max(strips[-1][2], x.high), strips[-1][3] + x.n
-        where[x.pack] = len(strips) - 1
-    reach = np.sqrt(2 - 2 * least) + SLACK
-    table, lows, highs = np.array([s[0] for s in strips]), np.array([s[1] for s in strips]), np.array([s[2] for s in strips])
-    sides = []
-    for pack_id, k in where.items():
-        fits = np.flatnonzero((table == table[k]) & (lows - highs[k] <= reach) & (lows[k] - highs <= reach))
-        sides += [(int(pack_id), int(min(k, o)), int(max(k, o)), bool(k > o)) for o in fits]
-    plan = spark.createDataFrame(pd.DataFrame(sides, columns=["pack", "a", "b", "second"]), "pack long, a int, b int, second boolean")
+                if held and held[0]["d"].iloc[0] != d:
+                    yield packed()
+                    held = []
+                while len(part):
+                    room = strip - sum(map(len, held))
+                    held.append(part.iloc[:room])
+                    part = part.iloc[room:]
+                    if sum(map(len, held)) == strip:
+                        yield packed()
+                        held = []
+        if held:
+            yield packed()
+
+    turned = store(fit.select("rid", "v").mapInPandas(turn, "rid long, d int, first double, second double, x binary"))
+    strips = max(1, -(-turned.count() // strip))
+    # Parts as wide in the first component as strips are in the second.
+    ordered = turned.repartitionByRange(max(1, round(strips**0.5)), "d", "first", "rid").sortWithinPartitions("d", "second")
+    packs = store(numbered(ordered.mapInPandas(pack, "d int, low array<double>, high array<double>, n long, ids binary, x binary"), "pack"))
+    plan = store(meetings(packs, least))
+    sides = plan.select("a", "b", F.col("a").alias("pack"), F.lit(False).alias("second")).unionByName(plan.where("a != b").select("a", "b", F.col("b").alias("pack"), F.lit(True).alias("second")))
 
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         d = int(frame["d"].iloc[0])
@@ -144,7 +163,9 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 2048, sample
         found = np.flatnonzero(hits)
         return pd.DataFrame({"rid": ids[found], "n": hits[found], "to": ids[roots[found]]})
 
-    met = store(packs.join(plan, "pack").groupBy("a", "b").applyInPandas(meet, "rid long, n long, to long"))
+    # A task has some pairs of strips only, as comparing them takes the time, not moving them.
+    pairs = packs.join(sides, "pack").repartition(max(1, -(-plan.count() // 2)), "a", "b")
+    met = store(pairs.groupBy("a", "b").applyInPandas(meet, "rid long, n long, to long"))
     found = components(met.where("rid != to").select(F.col("rid").alias("a"), F.col("to").alias("b")))
     counts = met.groupBy("rid").agg(F.sum("n").alias("n_links"))
     named = store(base.select("rid", "vec_id").join(found.withColumnRenamed("node", "rid"), "rid", "left").join(counts, "rid", "left").select("vec_id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
