@@ -1,6 +1,8 @@
-import math
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quillon.llm import url_reputation
 from quillon.llm.queries import RULES
 
@@ -20,8 +22,13 @@ def rule(host, path):
     return max(found)[1:] if found else (None, None)
 
 
-def posterior(rows, bad, z=1.645):
-    """Plain version of the hierarchy: {host: lower bound}, and the bound of any other host by its names."""
+def mass_above(a, b, x):
+    """Share of 200,000 draws of the beta distribution above x."""
+    return float((np.random.default_rng(1).beta(a, b, 200_000) > x).mean())
+
+
+def posterior(rows, bad):
+    """Plain version of the hierarchy: {host: (a, b)} of the posterior, and the overall rate."""
     def strength(level):
         over = sum(n * (k / n - m) ** 2 - m * (1 - m) for n, k, m in level)
         base = sum(m * (1 - m) * (n - 1) for n, k, m in level)
@@ -49,9 +56,8 @@ def posterior(rows, bad, z=1.645):
     for _, h in rows:
         n, k = hosts.get(h, (0, 0))
         a, b = s * of(h) + k, s * (1 - of(h)) + n - k
-        m = a / (a + b)
-        out[h] = m - z * math.sqrt(m * (1 - m) / (a + b + 1))
-    return out
+        out[h] = a, b
+    return out, mean
 
 
 def test_rules_and_reputation(spark):
@@ -61,14 +67,17 @@ def test_rules_and_reputation(spark):
     labels = spark.createDataFrame([*((k, bool(b)) for k, b in bad.items()), (1, None), (None, True)], "page_id long, bad boolean")
     got = url_reputation.judge(pages, labels, RULES).collect()
     parsed = {k: parse(u) for k, u in enumerate(urls)}
-    bound = posterior([(k, h) for k, (h, _) in parsed.items()], bad)
+    after, mean = posterior([(k, h) for k, (h, _) in parsed.items()], bad)
+    chance = {h: mass_above(a, b, mean) for h, (a, b) in after.items()}
     assert len(got) == len(urls)
     for r in got:
         host, path = parsed[r.page_id]
         verdict, name = rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, name)
-        assert abs(r.bad_bound - bound[host]) < 1e-9
-        assert r.verdict == (verdict or ("block" if bound[host] > 0.5 else "allow"))
+        a, b = after[host]
+        assert abs(r.bad_mean - a / (a + b)) < 1e-9
+        assert abs(r.bad_chance - chance[host]) < 0.01
+        assert r.verdict == (verdict or ("block" if chance[host] > 0.95 else "allow"))
     verdicts = {urls[r.page_id]: r.verdict for r in got}
     assert verdicts["http://bad.farm.info/0"] == "block" and verdicts["http://good.site0.com/0"] == "allow"
 
@@ -78,3 +87,25 @@ def test_without_labels_or_pages(spark):
     labels = spark.createDataFrame([], "page_id long, bad boolean")
     assert [r.verdict for r in url_reputation.judge(pages, labels, RULES).collect()] == ["allow"] * 3
     assert url_reputation.judge(pages.limit(0), labels, RULES).collect() == []
+
+
+def test_names_of_hosts(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.com:8080": ("y.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "com": ("com", "com"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in want], "h string").select("h", url_reputation.domain_of(F.col("h")).alias("d"), url_reputation.suffix_of(F.col("h")).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in rows} == want
+    own = spark.createDataFrame([("a.b.city.jp",)], "h string").select(url_reputation.domain_of(F.col("h"), ["city.jp"])).first()[0]
+    assert own == "b.city.jp"
+
+
+def test_the_reputation_decides_where_hosts_differ(spark):
+    """Of sixty hosts six are worse by far: all of their pages are blocked, none of the others' is; without a difference none."""
+    import random
+
+    r = random.Random(3)
+    for rate, blocked in ((0.9, 6), (0.1, 0)):
+        urls = [f"http://h{k % 60}.site{k % 60 % 7}.com/{k}" for k in range(6000)]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        labels = spark.createDataFrame([(k, r.random() < (rate if k % 60 < 6 else 0.1)) for k in range(6000) if k // 60 % 2], "page_id long, bad boolean")
+        got = url_reputation.judge(pages, labels, RULES).select("host", "verdict").distinct().collect()
+        found = {x.host.split(".")[0] for x in got if x.verdict == "block"}
+        assert found <= {f"h{k}" for k in range(6)} and len(found) == blocked
