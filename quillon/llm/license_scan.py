@@ -1,15 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. Features are word n-grams (one to three words) of the templates that hold at least one cue
-word, that is a template word which a bounded sample of the corpus's paragraphs (nearly) never uses. A multinomial logistic
-regression is trained on pieces of the templates, one class a family, against that sample, the class ``unknown``.
-A fourth of the sample is held back from training: the least probability that names a family is set above every
-probability that the model gives a family on it. A named family stands if enough of the paragraph's n-grams are
-those of one of its templates.
+A paragraph is a line that holds at least one cue word, and a run of two or more such lines (a notice that is wrapped);
+a run counts only where none of its lines names a family. Cue words are template words that the corpus's lines
+(nearly) never use, counted over all of them but those with three words in a row of a template. Features are word
+n-grams (one to three words) of the templates that hold a cue word. A multinomial logistic regression is trained on
+pieces of the templates, one class a family, against a bounded sample of the corpus's distinct lines, the class
+``unknown``. A part of both is held back from training: on it a temperature is fitted that calibrates the
+probabilities, and a family is named above one half and above nearly all of what the model gives a family on the
+held-back lines (a quantile). A named family stands if enough of the paragraph's n-grams are those of one of its
+templates.
 
 A paragraph without a cue word has no feature at all; the model calls that unknown (checked when it is fitted), so
 only documents with a cue word are taken apart. Everything is DataFrame operations and JVM-side feature and
-regression stages; nothing runs Python on the executors.
+regression stages; nothing runs Python on the executors. Driver: the template words' counts, and the raw scores of the
+held-back lines (at most the sample).
 
 Defined results: null and empty texts have no licence. Rows are judged one by one, repeated rows and null ids
 included. Extra columns are not read. Without documents there is no negative example, and no row either.
@@ -19,10 +23,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import numbered, store
@@ -31,6 +36,11 @@ UNKNOWN = "unknown"
 
 #: Short notices and opening clauses of each family.
 TEMPLATES = {
+    "AGPL-3.0": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -44,6 +54,11 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide.",
+        "Released under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -64,6 +79,16 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "ISC": (
+        "Licensed under the ISC license.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
@@ -75,6 +100,10 @@ TEMPLATES = {
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
 
 
@@ -120,72 +149,107 @@ class Scanner:
     vectors: CountVectorizerModel
     model: LogisticRegressionModel
     classes: list[str]
+    temperature: float
     least: float
     agree: float
 
 
-def fit(docs: DataFrame, negatives: int = 4000, negative_docs: int = 400, rare: float = 0.002, agree: float = 0.6) -> Scanner:
-    """Train on the templates against at most ``negatives`` paragraphs of about ``negative_docs`` documents.
+def calibrated(raw: np.ndarray, temperature: float) -> np.ndarray:
+    """Probabilities of raw scores (rows of classes) at a temperature."""
+    x = np.exp((raw - raw.max(1, keepdims=True)) / temperature)
+    return x / x.sum(1, keepdims=True)
+
 
-    Sampled paragraphs that hold three words in a row of a template are no negative examples and left out."""
+def temperature_of(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """The temperature of least weighted cross-entropy, on a grid from a quarter to 16 in steps of 2 ** 0.125."""
+    grid = 2.0 ** np.arange(-2, 4.01, 0.125)
+    loss = [-(weight * np.log(np.maximum(calibrated(raw, t)[np.arange(len(raw)), label], 1e-12))).sum() for t in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
+def fit(docs: DataFrame, negatives: int = 4000, rare: float = 0.002, agree: float = 0.6, quantile: float = 0.999) -> Scanner:
+    """Train on the templates against at most ``negatives`` distinct lines of the corpus, those of the smallest hashes.
+
+    Lines that hold three words in a row of a template count neither as negative examples nor against a cue word."""
     spark = docs.sparkSession
-    n = max(1, docs.count())
-    share = min(1.0, negative_docs / n)
-    lines = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.explode(F.split("text", "\n")).alias("line")).limit(negatives)
-    sample = store(lines.select(grams_of(words_of(F.col("line"))).alias("grams"), F.pmod(F.xxhash64("line"), F.lit(4)).alias("fold")).where(F.size("grams") > 0))
     every = {f: [plain_words(t) for t in texts] for f, texts in TEMPLATES.items()}
-    threes = [" ".join(w[i : i + 3]) for ws in every.values() for w in ws for i in range(len(w) - 2)]
-    sample = store(sample.where(~F.arrays_overlap("grams", F.array(*map(F.lit, sorted(set(threes)))))))
+    threes = sorted({" ".join(w[i : i + 3]) for ws in every.values() for w in ws for i in range(len(w) - 2)})
     template_words = sorted({x for ws in every.values() for w in ws for x in w})
-    n_negative = sample.count()
-    used = sample.select(F.explode(F.array_intersect("grams", F.array(*map(F.lit, template_words)))).alias("w")).groupBy("w").count()
-    common = {r.w for r in used.where(F.col("count") > rare * n_negative).collect()}  # of the template words alone, so bounded by them
-    cues = [w for w in template_words if w not in common and not w.isdigit() and len(w) > 1]
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
+    n_words = F.size("words")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n_words - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)))
+    quoted = F.when(F.size("own") >= 3, F.arrays_overlap(runs, F.array(*map(F.lit, threes)))).otherwise(False)
+    worded = lines.select("line", words_of(F.col("line")).alias("words")).withColumn("own", F.array_intersect("words", F.array(*map(F.lit, template_words)))).where(~quoted)
+    # The empty word counts the lines.
+    used = worded.select(F.explode(F.array_append("own", "")).alias("w")).groupBy("w").count()
+    counts = {r.w: r["count"] for r in used.collect()}  # of the template words alone, so bounded by them
+    n_lines = max(1, counts.pop("", 0))
+    cues = [w for w in template_words if counts.get(w, 0) <= rare * n_lines and not w.isdigit() and len(w) > 1]
     cue_set = set(cues)
+    share = min(1.0, 4 * negatives / n_lines)
+    h = F.xxhash64("line")
+    drawn = worded.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))).select("line", "words", h.alias("h")).dropDuplicates(["line"]).orderBy("h", "line").limit(negatives)
+    sample = store(drawn.select(grams_of(F.col("words")).alias("grams"), F.pmod("h", F.lit(4)).alias("fold")).where(F.size("grams") > 0))
     vocabulary = sorted({g for ws in every.values() for w in ws for g in plain_grams(w) if cue_set & set(g.split(" "))})
     classes = [UNKNOWN, *sorted(TEMPLATES)]
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
     vectors.setBinary(True)
     # Each family weighs as much as the others, each template as the family's others, and a whole template as much
-    # as its windows together; the negative examples weigh as much as all families.
-    rows: list[tuple[list[str], float, float]] = [([], 0.0, 1.0)]
+    # as its windows together; the negative examples weigh as much as all families. Every fourth window is held back.
+    rows: list[tuple[list[str], float, float, bool]] = [([], 0.0, 1.0, False)]
     for f, texts in TEMPLATES.items():
         for t in texts:
             whole, *windows = [plain_grams(w) for w in pieces(t) if cue_set & set(w)] or [[]]
-            share = 1 / len(texts) / (2 if windows else 1)
-            rows += [(w, float(classes.index(f)), share / len(windows)) for w in windows]
-            rows.append((whole, float(classes.index(f)), share))
+            part = 1 / len(texts) / (2 if windows else 1)
+            rows += [(w, float(classes.index(f)), part / len(windows), k % 4 == 3) for k, w in enumerate(windows)]
+            rows.append((whole, float(classes.index(f)), part, False))
+    n_negative = sample.count()
     weight = len(TEMPLATES) / max(1, n_negative)
-    train = spark.createDataFrame(rows, "grams array<string>, label double, weight double").unionByName(sample.where("fold > 0").select("grams", F.lit(0.0).alias("label"), F.lit(weight).alias("weight")))
-    model = LogisticRegression(family="multinomial", maxIter=80, regParam=1e-6, standardization=False, weightCol="weight").fit(store(vectors.transform(train).select("features", "label", "weight").coalesce(2)))
-    top = F.array_max(F.slice(vector_to_array("probability"), 2, len(classes)))
-    held = model.transform(vectors.transform(sample.where("fold = 0"))).agg(F.max(top).alias("p")).first().p or 0.0
+    examples = spark.createDataFrame(rows, "grams array<string>, label double, weight double, held boolean").unionByName(sample.select("grams", F.lit(0.0).alias("label"), F.lit(weight).alias("weight"), (F.col("fold") == 0).alias("held")))
+    examples = store(vectors.transform(examples).select("features", "label", "weight", "held").coalesce(2))
+    model = LogisticRegression(family="multinomial", maxIter=60, regParam=1e-6, standardization=False, weightCol="weight").fit(examples.where("not held"))
+    held = model.transform(examples.where("held")).select(vector_to_array("rawPrediction").alias("raw"), "label", "weight").collect()
     empty = model.transform(vectors.transform(spark.createDataFrame([([],)], "grams array<string>"))).first()
     if int(empty.prediction) != 0:
         raise ValueError("the classifier doesn't call a paragraph without features unknown")
-    return Scanner(cues, vectors, model, classes, max(0.5, held), agree)
+    raw, label = np.array([r.raw for r in held]).reshape(-1, len(classes)), np.array([int(r.label) for r in held], dtype=int)
+    temperature = temperature_of(raw, label, np.array([r.weight for r in held])) if len(held) else 1.0
+    other = calibrated(raw, temperature)[label == 0, 1:].max(1) if (label == 0).any() else np.zeros(1)
+    return Scanner(cues, vectors, model, classes, temperature, max(0.5, float(np.quantile(other, quantile))), agree)
 
 
 def scan(docs: DataFrame, scanner: Scanner | None = None, **fitting) -> DataFrame:
-    """doc_id and licences (array of line, family, probability, agreement; in order of lines) for each row."""
+    """doc_id and licences (array of line, lines, family, probability, agreement; in order of lines) for each row.
+
+    ``line`` is the first of a paragraph, ``lines`` how many it has."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scanner = scanner or fit(docs, **fitting)
     cues = F.array(*map(F.lit, scanner.cues))
-    found = "array<struct<line:int,family:string,probability:double,agreement:double>>"
+    found = "array<struct<line:int,lines:int,family:string,probability:double,agreement:double>>"
     rows = docs.withColumn("cue", F.arrays_overlap(words_of(F.col("text")), cues))
     rest = rows.where("not cue").select("doc_id", F.expr(f"cast(array() as {found})").alias("licences"))
     lines = numbered(rows.where("cue").select("doc_id", "text")).select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     lines = lines.select("rid", "doc_id", "line", words_of(F.col("paragraph")).alias("words")).where(F.arrays_overlap("words", cues))
-    scored = scanner.model.transform(scanner.vectors.transform(lines.select("rid", "doc_id", "line", grams_of(F.col("words")).alias("grams"))))
-    p = vector_to_array("probability")
+    at = Window.partitionBy("rid").orderBy("line")
+    # Neighbouring lines have line numbers as far apart as their places among the lines with a cue.
+    lines = lines.withColumn("run", F.col("line") - F.row_number().over(at))
+    runs = lines.groupBy("rid", "doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("line", "words"))).alias("own")).where(F.size("own") > 1)
+    runs = runs.select("rid", "doc_id", "run", F.get("own", F.lit(0))["line"].alias("line"), F.size("own").alias("lines"), F.flatten(F.transform("own", lambda x: x["words"])).alias("words"))
+    both = lines.select("rid", "doc_id", "run", "line", F.lit(1).alias("lines"), "words").unionByName(runs)
+    scored = scanner.model.transform(scanner.vectors.transform(both.select("rid", "doc_id", "run", "line", "lines", grams_of(F.col("words")).alias("grams"))))
+    raw = vector_to_array("rawPrediction")
+    top = F.array_max("raw")
+    mass = F.aggregate("raw", F.lit(0.0), lambda s, x: s + F.exp((x - top) / scanner.temperature))
     family = F.element_at(F.array(*map(F.lit, scanner.classes)), F.col("prediction").cast("int") + 1)
-    scored = scored.select("rid", "doc_id", "line", "grams", family.alias("family"), F.array_max(p).alias("probability"))
+    scored = scored.select("rid", "doc_id", "run", "line", "lines", "grams", family.alias("family"), raw.alias("raw")).withColumn("probability", 1 / mass)
     templates = F.create_map(*(x for f, texts in TEMPLATES.items() for x in (F.lit(f), F.array(*(F.array(*map(F.lit, plain_grams(plain_words(t)))) for t in texts)))))
     shared = F.array_max(F.transform(F.element_at(templates, F.col("family")), lambda t: F.size(F.array_intersect("grams", t)) / F.least(F.size("grams"), F.size(t))))
     judged = scored.withColumn("agreement", F.when(F.col("family") != UNKNOWN, shared).otherwise(0.0))
     fine = (F.col("family") != UNKNOWN) & (F.col("probability") > scanner.least) & (F.col("agreement") >= scanner.agree)
-    hit = F.when(fine, F.struct("line", "family", "probability", "agreement"))
-    some = judged.withColumn("hit", hit).groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list("hit")).cast(found).alias("licences"))
+    hit = F.when(fine, F.struct("line", "lines", "family", "probability", "agreement"))
+    by_run = judged.withColumn("hit", hit).groupBy("rid", "doc_id", "run").agg(F.collect_list(F.when(F.col("lines") == 1, F.col("hit"))).alias("single"), F.collect_list(F.when(F.col("lines") > 1, F.col("hit"))).alias("whole"))
+    some = by_run.select("rid", "doc_id", F.when(F.size("single") > 0, F.col("single")).otherwise(F.col("whole")).alias("hits"))
+    some = some.groupBy("rid", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).cast(found).alias("licences"))
     return rest.unionByName(some.select("doc_id", "licences"))
 
 
