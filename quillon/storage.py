@@ -7,10 +7,13 @@ import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Where the tables lie that are still referred to.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -44,4 +47,16 @@ def store(df: DataFrame, compression: str = "zstd") -> DataFrame:
     del df
     gc.collect()
     jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete the files of tables that :func:`store` returned and that nothing reads any more."""
+    for df in stored:
+        path = _paths.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
