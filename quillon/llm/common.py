@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.storage import scratch, store
+from quillon.storage import drop, scratch, store
+
+__all__ = ["components", "drop", "local_roots", "numbered", "scratch", "store", "text_of"]
 
-__all__ = ["components", "local_roots", "numbered", "scratch", "store", "text_of"]
 
 def numbered(df: DataFrame, rid: str = "rid") -> DataFrame:
     """Add a row number that is unique, not dense. Only stable once stored."""
@@ -43,13 +44,17 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     left = store(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     rounds: list[DataFrame] = []
+    held: list[DataFrame] = []
     while not left.isEmpty():
         up = store(left.groupBy("a").agg(F.min("b").alias("p")))
+        held += [left, up]
         while True:
             y = up.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             jumped = store(up.join(y, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
             if jumped.where("moved").isEmpty():
+                drop(jumped)
                 break
+            held.append(jumped)
             up = jumped.drop("moved")
         rounds.append(up)
         at_b = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
@@ -63,7 +68,9 @@ def components(edges: DataFrame) -> DataFrame:
             step = later.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             up = up.join(step, "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
         out = up if out is None else out.unionByName(up)
-    return store(out.select(F.col("a").alias("node"), F.col("p").alias("root")))
+    found = store(out.select(F.col("a").alias("node"), F.col("p").alias("root")))
+    drop(*held, left)
+    return found
 
 
 def text_of(name: str = "text") -> Column:

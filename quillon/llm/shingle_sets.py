@@ -23,10 +23,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, store
+from quillon.llm.common import components, drop, store
 
 #: Frequent shingles that the order knows, at most.
 HOT = 1 << 17
@@ -77,21 +77,9 @@ def in_range(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def sets(rows: DataFrame, rid: str, size: int, sketch: Sketch) -> DataFrame:
-    """rid, doc_id, digest (of the set), n, sketch for each row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            each = [shingles(x, size) for x in frame["text"]]
-            yield pd.DataFrame({"rid": frame["rid"], "doc_id": frame["doc_id"], "digest": [hashlib.sha256(x.tobytes()).digest() for x in each], "n": [len(x) for x in each], "sketch": [sketch(x) for x in each]})
-
-    own = rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    made = own.mapInPandas(run, "rid long, doc_id string, digest binary, n long, sketch binary")
-    return made.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
-
-
-def frequent(held: DataFrame, size: int, least: int = 8, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent within pieces of the input, sorted, and their counts there."""
+def scanned(rows: DataFrame, rid: str, size: int, sketch: Sketch, piece: int = 1 << 20) -> DataFrame:
+    """One pass over the texts. For each row: rid, doc_id, digest (of the set), n, sketch. And rows without a rid: token,
+    times of the shingles that are frequent within pieces of the input."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, n = [], 0
@@ -100,17 +88,31 @@ def frequent(held: DataFrame, size: int, least: int = 8, piece: int = 1 << 20) -
             token, times = np.unique(np.concatenate(kept), return_counts=True)
             return pd.DataFrame({"token": token[times > 2].view(np.int64), "times": times[times > 2]})
 
+        def shown(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.reindex(columns=["rid", "doc_id", "digest", "n", "sketch", "token", "times"]).astype({c: "Int64" for c in ("rid", "n", "token", "times")} | {c: object for c in ("doc_id", "digest", "sketch")})
+            return frame.where(frame.notna(), None)
+
         for frame in frames:
-            for text in frame["text"]:
-                kept.append(shingles(text, size))
-                n += len(kept[-1])
+            for lo in range(0, len(frame), 1024):
+                part = frame.iloc[lo : lo + 1024]
+                each = [shingles(x, size) for x in part["text"]]
+                yield shown(pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"], "digest": [hashlib.sha256(x.tobytes()).digest() for x in each], "n": [len(x) for x in each], "sketch": [sketch(x) for x in each]}))
+                kept += each
+                n += sum(map(len, each))
                 if n >= piece:
-                    yield counted()
+                    yield shown(counted())
                     kept, n = [], 0
         if n:
-            yield counted()
+            yield shown(counted())
+
+    own = rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    made = own.mapInPandas(run, "rid long, doc_id string, digest binary, n long, sketch binary, token long, times long")
+    return store(made.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType)))
+
 
-    counts = store(held.select("text").mapInPandas(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least))
+def frequent(scan: DataFrame, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a scan, ``HOT`` at most, sorted, and their counts there."""
+    counts = store(scan.where("rid is null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least))
     level = F.floor(F.log2("times")).cast("int")
     above, floor = 0, 64
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
@@ -119,6 +121,7 @@ def frequent(held: DataFrame, size: int, least: int = 8, piece: int = 1 << 20) -
             break
         floor = r.level
     top = counts.where(level >= floor).toPandas().sort_values("token")
+    drop(counts)
     return top["token"].to_numpy(np.int64), top["times"].to_numpy(np.int64)
 
 
@@ -147,11 +150,6 @@ def postings(held: DataFrame, size: int, hot: tuple[np.ndarray, np.ndarray]) ->
     return held.select("node", "text").mapInPandas(run, "token long, node long, n long, pos long")
 
 
-def may_reach(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
-    """False only where the sets are out of range or share a shingle before this one."""
-    return (5 * F.least(n, n2) >= 4 * F.greatest(n, n2)) & (9 * F.least(n - pos, n2 - pos2) >= 4 * (n + n2))
-
-
 def words_of(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype="<u8").reshape(len(sketches), -1)
 
@@ -235,29 +233,40 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield frame.loc[fine, ["a", "b"]]
 
     nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return store(both(pairs, with_few(texts, nodes, "node"), "text").mapInPandas(exact, "a long, b long"))
+    found = store(both(pairs, with_few(texts, nodes, "node"), "text").mapInPandas(exact, "a long, b long"))
+    drop(nodes, pairs)
+    return found
 
 
 def kept(rows: DataFrame, rid: str, size: int, sketch: Sketch, test: Test) -> DataFrame:
-    """The row id (as ``rid``) of one row of each group: the smallest doc_id, null last, then the smallest row id."""
+    """The row id (as ``rid``) of one row of each group: the smallest doc_id, null last, then the smallest row id.
+
+    ``rows`` is stored, as it is read several times."""
+    scan = scanned(rows, rid, size, sketch)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("rid").alias("node"), "n", "sketch")
-    reps = store(sets(rows, rid, size, sketch).groupBy("digest").agg(F.min(order).alias("r")).select("r.*"))
+    reps = store(scan.where("rid is not null").groupBy("digest").agg(F.min(order).alias("r")).select("r.*"))
+    hot = frequent(scan)
+    drop(scan)
     texts = rows.select(F.col(rid).alias("node"), "text")
-    held = store(texts.join(reps.where("n >= 4").select("node").hint("merge"), "node", "left_semi"))
-    listed = store(postings(held, size, frequent(held, size)))
-    centre = F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")
-    nth = [F.min(F.when(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(CENTRES)) == k, centre)).alias(f"c{k}") for k in range(CENTRES)]
-    lists = listed.groupBy("token").agg(F.count("*").alias("times"), *nth).where("times > 1").select("token", F.array_compact(F.array(*(f"c{k}" for k in range(CENTRES)))).alias("centres"))
+    listed = store(postings(texts.join(reps.where("n >= 4").select("node").hint("merge"), "node", "left_semi"), size, hot))
+    # The smallest node of each class by hash, so that lists of much the same sets have the same few centres.
+    nth = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRES)) == k, F.col("node"))).alias(f"c{k}") for k in range(CENTRES)]
+    lists = store(listed.groupBy("token").agg(F.count("*").alias("times"), *nth).where("times > 1").select("token", F.array_compact(F.array(*(f"c{k}" for k in range(CENTRES)))).alias("centres")))
     shared = store(listed.join(lists.hint("merge"), "token"))
-    met = shared.select("node", "n", "pos", F.explode("centres").alias("c")).where((F.col("node") != F.col("c.node")) & may_reach(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
-    stars = met.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
-    links = verified(passing(stars, reps, test), held, size)
+    drop(listed, lists)
+    met = shared.select("node", F.explode("centres").alias("c")).where("node != c")
+    stars = met.select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b")).distinct()
+    links = verified(passing(stars, reps, test), texts, size)
     grouped = components(links)
     parts = shared.select("token", "node", "n", "pos").join(grouped.withColumnRenamed("root", "part").hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = store(parts)
+    drop(shared, grouped)
     mixed = store(parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("token"))
     left = with_few(parts, mixed, "token").join(reps.select("node", "sketch").hint("merge"), "node")
-    more = verified(store(across(left, test)), held, size)
+    more = verified(store(across(left, test)), texts, size)
+    drop(parts, mixed)
     grouped = components(links.unionByName(more))
     named = reps.select("none", "doc_id", "node").join(grouped.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "node")).alias("r")).select(F.col("r.node").alias(rid))
+    found = store(named.groupBy("root").agg(F.min(F.struct("none", "doc_id", "node")).alias("r")).select(F.col("r.node").alias(rid)))
+    drop(reps, links, more, grouped)
+    return found
