@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.storage import drop, scratch, store
 
-__all__ = ["components", "drop", "local_roots", "numbered", "scratch", "store", "text_of"]
+__all__ = ["components", "drop", "local_roots", "numbered", "scratch", "store", "text_of", "unused"]
 
 
 def numbered(df: DataFrame, rid: str = "rid") -> DataFrame:
@@ -16,6 +16,13 @@ def numbered(df: DataFrame, rid: str = "rid") -> DataFrame:
     return df.withColumn(rid, F.monotonically_increasing_id())
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column's name."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, roots: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over edges a-b, on top of ``roots`` already known."""
     roots = np.arange(n) if roots is None else roots

@@ -12,7 +12,8 @@ joins are sort-merge joins at every size and never broadcast.
 
 Defined results: a null text stays null and has no lines. Lines end at ``\\n`` only. Chunks of nothing but white
 space stay. Single lines stay however often they occur. Rows that repeat a doc_id and text are one document and are
-treated alike; a null doc_id sorts first. A document may end up empty; its row stays. Extra columns pass through.
+treated alike; a null doc_id sorts first. A document may end up empty; its row stays. Extra columns of any name pass
+through, but those named as the columns that are added are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import store
+from quillon.llm.common import store, unused
 
 WINDOW = 2
 ROOT = 31
@@ -49,10 +50,23 @@ def chunks_of(text: Column, spread: int) -> Column:
     return F.transform(F.array(both), lambda x: cut(x["lines"], x["hashes"]))[0]
 
 
+def row_key() -> Column:
+    """128 bits of what makes a row a document of its own: its id, whether it has one, and its text."""
+    known = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
+    return F.unhex(F.md5(F.concat(known, F.lit("\n"), F.col("text")).cast("binary")))
+
+
+def between(items: Column, ends: Column) -> Column:
+    """``items`` but those at the places ``ends`` (sorted, from 1)."""
+    edges = F.concat(ends, F.array(F.size(items) + 1))
+    after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(edges, i - 1))
+    return F.flatten(F.transform(edges, lambda end, i: F.slice(items, after(i) + 1, end - after(i) - 1)))
+
+
 def dedupe(docs: DataFrame, spread: int = 3) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and three columns more: __lines, __removed_lines,
     __removed_chunks."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.length("text"))
+    key, dk, lost = row_key(), unused(docs, "__key"), unused(docs, "__gone")
     rows = docs.where("text is not null").select("doc_id", key.alias("dk"), F.explode(chunks_of(F.col("text"), spread)).alias("c"))
     rows = rows.select("doc_id", "dk", "c.k", "c.n", "c.chunk").where((F.col("n") > 1) & F.col("chunk").rlike(r"\S"))
     rows = rows.withColumn("digest", F.md5(F.col("chunk").cast("binary")))
@@ -61,20 +75,21 @@ def dedupe(docs: DataFrame, spread: int = 3) -> DataFrame:
     found = store(rows.join(again.hint("merge"), "digest").select("digest", "doc_id", "dk", "k", "chunk", place.eqNullSafe(F.col("first")).alias("is_first")))
     first = store(found.where("is_first").groupBy("digest").agg(F.min("chunk").alias("first_chunk")))
     same = found.where("not is_first").join(first, "digest").where(F.col("chunk") == F.col("first_chunk"))
-    gone = store(same.groupBy("dk").agg(F.collect_set("k").alias("__gone")))
-    out = docs.withColumn("dk_", key).join(gone.withColumnRenamed("dk", "dk_").hint("merge"), "dk_", "left").drop("dk_")
-    chunks = chunks_of(F.col("text"), spread)
-    kept = F.array_join(F.transform(F.filter(chunks, lambda c: ~F.array_contains("__gone", c["k"])), lambda c: c["chunk"]), "\n")
-    lost = F.aggregate(F.filter(chunks, lambda c: F.array_contains("__gone", c["k"])), F.lit(0), lambda s, c: s + c["n"])
-    some = F.col("__gone").isNotNull()
+    gone = store(same.groupBy("dk").agg(F.array_sort(F.collect_set(F.col("k") + 1)).alias(lost)))
+    out = docs.withColumn(dk, key).join(gone.withColumnRenamed("dk", dk).hint("merge"), dk, "left").drop(dk)
+    kept = F.transform(F.array(chunks_of(F.col("text"), spread)), lambda x: between(x, F.col(lost)))[0]
+    some = F.col(lost).isNotNull()
+    left = unused(out, "__left")
+    out = out.withColumn(left, F.when(some, F.transform(F.array(kept), lambda x: F.struct(F.array_join(F.transform(x, lambda c: c["chunk"]), "\n").alias("text"), F.aggregate(x, F.lit(0), lambda n, c: n + c["n"]).alias("n")))[0]))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     return out.withColumns(
         {
-            "__lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"),
-            "__removed_lines": F.when(some, lost).otherwise(0).cast("long"),
-            "__removed_chunks": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-            "text": F.when(some, kept).otherwise(F.col("text")),
+            "__lines": lines.cast("long"),
+            "__removed_lines": F.when(some, lines - F.col(f"{left}.n")).otherwise(0).cast("long"),
+            "__removed_chunks": F.coalesce(F.size(lost), F.lit(0)).cast("long"),
+            "text": F.when(some, F.col(f"{left}.text")).otherwise(F.col("text")),
         }
-    ).drop("__gone")
+    ).drop(left, lost)
 
 
 def line_pairs(text: Column) -> Column:
@@ -100,7 +115,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     in full length. A line's first occurrence in the corpus always stays; of a line repeated in a row, two stay.
     Defined results are those of :func:`dedupe`, but that blank lines neither make nor break a passage.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.length("text"))
+    key, dk, lost = row_key(), unused(docs, "__key"), unused(docs, "__gone")
     rows = docs.where("text is not null").select("doc_id", key.alias("dk"), F.explode(line_pairs(F.col("text"))).alias("c"))
     rows = store(rows.select("doc_id", "dk", "c.k", "c.upto", F.unhex(F.sha2(F.col("c.pair").cast("binary"), 256)).alias("digest")))
     place = F.struct("doc_id", "dk", "k")
@@ -110,17 +125,11 @@ def without_passages(docs: DataFrame) -> DataFrame:
     first_upto = F.col("first.k") + F.col("upto") - F.col("k")
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (first_upto >= F.col("k"))
     lines = F.sequence(F.when(own, first_upto + 1).otherwise(F.col("k")), F.col("upto"))
-    gone = store(found.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias("__gone")))
-    out = docs.withColumn("dk_", key).join(gone.withColumnRenamed("dk", "dk_").hint("merge"), "dk_", "left").drop("dk_")
-
-    def between(lines_: Column) -> Column:
-        ends = F.concat("__gone", F.array(F.size(lines_) + 1))
-        after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-        return F.flatten(F.transform(ends, lambda end, i: F.slice(lines_, after(i) + 1, end - after(i) - 1)))
-
-    kept = F.array_join(F.transform(F.array(F.split("text", "\n")), between)[0], "\n")
-    some = F.col("__gone").isNotNull()
-    return out.withColumns({"__removed_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "text": F.when(some, kept).otherwise(F.col("text"))}).drop("__gone")
+    gone = store(found.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias(lost)))
+    out = docs.withColumn(dk, key).join(gone.withColumnRenamed("dk", dk).hint("merge"), dk, "left").drop(dk)
+    kept = F.array_join(F.transform(F.array(F.split("text", "\n")), lambda x: between(x, F.col(lost)))[0], "\n")
+    some = F.col(lost).isNotNull()
+    return out.withColumns({"__removed_lines": F.coalesce(F.size(lost), F.lit(0)).cast("long"), "text": F.when(some, kept).otherwise(F.col("text"))}).drop(lost)
 
 
 def digest(docs: DataFrame, spread: int = 3) -> DataFrame:

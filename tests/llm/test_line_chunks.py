@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from quillon.llm import line_chunks
 from tests.llm import cases
 
@@ -47,6 +49,14 @@ def test_awkward_rows(spark):
     assert line_chunks.digest(cases.empty(spark)).collect() == []
 
 
+def test_columns_of_clashing_names_pass(spark):
+    docs = cases.documents(spark).select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("dk", "dk_", "__key", "__gone", "__left", "c", "digest"))))
+    for out in (line_chunks.dedupe(docs), line_chunks.without_passages(docs)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert {tuple(r) for r in out.select(*docs.columns[2:]).collect()} == {tuple(range(7))}
+        assert out.count() == docs.count()
+
+
 def test_shifted_passages_are_cut_alike(spark):
     passage = "\n".join(f"line {k} of a passage that many texts share" for k in range(40))
     docs = spark.createDataFrame([(k, f"intro {k}\n" * k + passage + f"\nend {k}") for k in range(30)], "doc_id long, text string")

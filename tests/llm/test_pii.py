@@ -35,6 +35,7 @@ TEXTS = [
     "phone 555-123-4567, not 555-123-4567; IBAN DE89370400440532013000 DE89370400440532013001 GB82WEST12345698765432",
     "\u0001a@b.c\u0002 d@e.f\u0003 \u0001\u0002",
     "a@b.c" * 300,
+    "x@y.zw 10.0.0.1, " * 3000,
     "1" * 30000 + " " + "a" * 30000 + "@" + " +1" + " " * 30000 + "(1-1)." * 5000,
     "١٢٣.٤.٥.٦ ｱ@b.c ß@b.c K@b.c",
 ]
