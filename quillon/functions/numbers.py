@@ -92,3 +92,33 @@ def arithmetic(text: str, variables: dict[str, Column] | None = None) -> Column:
     if found:
         raise ValueError("the expression goes on after its end")
     return out
+
+
+def log_frequency(share: Column, low: float = 20.0, high: float = 20_000.0) -> Column:
+    """Frequency at a share of a logarithmic scale."""
+    return F.pow(F.lit(10.0), F.log10(F.lit(low)) + share * (F.log10(F.lit(high)) - F.log10(F.lit(low))))
+
+
+def band_response(kind: Column, centre: Column, gain: Column, q: Column, frequency: Column) -> Column:
+    """Gain of an equaliser's band (peaking, highpass, lowpass) at a frequency; other kinds have none."""
+    ratio = frequency / centre
+    steep = F.pow(ratio, 2 * F.greatest(q, F.lit(1)))
+    peak = gain / (1 + F.pow(2 * F.log2(ratio) * q, F.lit(2)))
+    return F.when(kind == "peaking", peak).when(kind == "highpass", gain * steep / (1 + steep)).when(kind == "lowpass", gain / (1 + steep)).otherwise(0.0)
+
+
+def equaliser(bands: Column, frequency: Column) -> Column:
+    """All bands (array of struct type, frequency, gain, q) together, within 30 dB of none."""
+    total = F.aggregate(bands, F.lit(0.0), lambda s, b: s + band_response(b["type"], b["frequency"], b["gain"], b["q"], frequency))
+    return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))
+
+
+def loudness_scale(n: Column) -> Column:
+    """Factor for each of n channels so that together they are as loud as one."""
+    return 1 / F.sqrt(n)
+
+
+def emu_pixels(emu: Column, dpi: int = 96, places: int = 2) -> Column:
+    """English metric units as pixels; what isn't a number is 0."""
+    x = F.coalesce(emu.try_cast("double"), F.lit(0.0)) / 914_400 * dpi
+    return half_up(x * 10**places) / 10**places

@@ -194,3 +194,65 @@ def style_map(c: Column) -> Column:
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)), F.trim(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1))))
     start = F.expr("cast(map() as map<string,string>)")
     return F.aggregate(entries, start, lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["col1"]), F.map_from_arrays(F.array(e["col1"]), F.array(e["col2"]))))
+
+
+def typed(c: Column) -> Column:
+    """struct(kind, flag, number) of a message's argument: true and false, numbers, else text; empty text stays text."""
+    number = F.when(F.trim(c) != "", c.try_cast("double"))
+    kind = F.when(c.isin("true", "false"), "boolean").when(number.isNotNull(), "number").otherwise("string")
+    return F.struct(kind.alias("kind"), F.when(kind == "boolean", c == "true").alias("flag"), F.when(kind == "number", number).alias("number"))
+
+
+def feed_text(items: Column, divider: str = " | ", most: int = 5) -> Column:
+    """``title: description`` of a feed's first items in one line."""
+    return F.array_join(F.transform(F.slice(items, 1, most), lambda i: F.concat_ws(": ", i["title"], i["description"])), divider)
+
+
+def decorations(template: Column, own: Column, underline: bool = False, line_through: bool = False) -> Column:
+    """A template's text decorations, with underline and line-through as the text itself has them where they are to be
+    kept; ``none`` if there are none."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    out, have = words(template), words(own)
+    for name, keep in (("underline", underline), ("line-through", line_through)):
+        if keep:
+            out = F.when(F.array_contains(have, name), F.array_union(out, F.array(F.lit(name)))).otherwise(F.array_remove(out, name))
+    return F.when(F.size(out) == 0, "none").otherwise(F.array_join(out, " "))
+
+
+def halves(c: Column) -> Column:
+    """One or two parts: behind the last of . , ! ? in the middle half of the text, else at the space closest to its middle."""
+    n, centre = F.length(c), F.floor(F.length(c) / 2).cast("int")
+    margin = F.floor(centre / 2).cast("int")
+    low = centre - margin
+    window = F.substring(c, low + 1, 2 * margin + 1)
+    marked = F.length(F.regexp_extract(window, r"^(?s:.*)[.,!?]", 0))
+    head = F.length(F.regexp_extract(F.substring(c, F.lit(1), centre + 1), r"^(?s:.*) ", 0))
+    tail = F.position(F.lit(" "), F.substring(c, centre + 1, n))
+    left, right = F.when(head > 0, head - 1), F.when(tail > 0, centre + tail - 1)
+    space = F.when(right.isNull() | (centre - left <= right - centre), left).otherwise(right)
+    at = F.when(marked > 0, low + marked).otherwise(F.coalesce(space, right))
+    parts = F.array(F.trim(F.substring(c, F.lit(1), at)), F.trim(F.substring(c, at + 1, n)))
+    return F.when(at.isNull(), F.array(c)).otherwise(parts)
+
+
+def broken_lines(line: Column, most: int, rounds: int = 24) -> Column:
+    """A line of over ``most`` words in halves, those again in halves, and so on; array of the lines in order."""
+    words = F.split(line, " ")
+
+    def cut(parts: Column, _: Column) -> Column:
+        half = lambda w: F.floor(F.size(w) / 2).cast("int")
+        two = lambda w: F.array(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, F.size(w)))
+        again = F.flatten(F.transform(parts, lambda w: F.when(F.size(w) > most, two(w)).otherwise(F.array(w))))
+        return F.when(F.exists(parts, lambda w: F.size(w) > most), again).otherwise(parts)
+
+    parts = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(words), cut)
+    return F.transform(parts, lambda w: F.array_join(w, " "))
+
+
+def filled(text: Column, values: dict[str, Column], drop: tuple[str, ...] = ()) -> Column:
+    """``{name}`` placeholders replaced by values; those of ``drop`` go, with the space behind them."""
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    for name in drop:
+        text = F.replace(F.replace(text, F.lit(f"{{{name}}} "), F.lit("")), F.lit(f"{{{name}}}"), F.lit(""))
+    return text

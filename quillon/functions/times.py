@@ -67,3 +67,54 @@ def subtitle_time(ms: Column) -> Column:
     """01:02:03.004"""
     p = F.floor(ms / 1000)
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(p / 3600), F.floor(p % 3600 / 60), p % 60, ms % 1000)
+
+
+def date_text(day: Column, full: bool = False) -> Column:
+    """DD.MM.YY, or ``Monday 6. February, 2021``."""
+    return F.date_format(day, "EEEE d'. 'MMMM', 'yyyy") if full else F.date_format(day, "dd.MM.yy")
+
+
+def weekday_name(day: Column, names: dict[int, str] | None = None) -> Column:
+    """Name of the weekday, from a dictionary by number (1 is Monday) if there is one."""
+    if names is None:
+        return F.date_format(day, "EEEE")
+    return F.initcap(F.element_at(F.create_map(*(F.lit(x) for k in names.items() for x in k)), F.weekday(day) + 1))
+
+
+def combined(day: Column, clock: Column) -> Column:
+    """The day at a time such as ``18:30``; without a time as it is."""
+    at = F.to_timestamp(F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), F.substring(clock, 1, 5)), "yyyy-MM-dd HH:mm")
+    return F.coalesce(at, day.cast("timestamp"))
+
+
+def interval_ms(name: Column) -> Column:
+    """Milliseconds of a named interval; 0 for any other name."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k in INTERVALS_MS.items() for x in k)), name), F.lit(0))
+
+
+def forecast_times(now: Column, long_range: bool = False) -> Column:
+    """Four times a forecast is shown for: the next full hour, 3, 6 and 11 hours on; or noon of four days from today."""
+    if long_range:
+        noon = F.date_trunc("day", now) + F.expr("interval 12 hours")
+        return F.array(*(noon + F.expr(f"interval {k} days") for k in range(4)))
+    hour = F.date_trunc("hour", now)
+    return F.array(*(hour + F.expr(f"interval {k} hours") for k in (1, 4, 7, 12)))
+
+
+def dated_name(pattern: Column, day: Column) -> Column:
+    """A name with its date tokens filled in: {DD}, {MM}, {YY}, {YYYY} and {D1} to {D7}, the day of the month of the next
+    Monday to Sunday (today counts)."""
+    out = pattern
+    for token, form in (("{YYYY}", "yyyy"), ("{YY}", "yy"), ("{MM}", "MM"), ("{DD}", "dd")):
+        out = F.replace(out, F.lit(token), F.date_format(day, form))
+    for k, name in enumerate(("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"), 1):
+        out = F.replace(out, F.lit(f"{{D{k}}}"), F.date_format(F.next_day(F.date_sub(day, 1), name), "dd"))
+    return out
+
+
+def trigger_of(left_ms: Column, tick_ms: int = 1000, minute_ms: int = 60_000) -> Column:
+    """What a scheduled action sets off at a tick: a notice a minute, half a minute and ten seconds ahead, and its start."""
+    found = F.lit(None).cast("string")
+    for name, at in (("start", 0), ("ten_seconds", minute_ms // 6), ("half_minute", minute_ms // 2), ("minute", minute_ms)):
+        found = F.when((left_ms <= at) & (left_ms > at - tick_ms), name).otherwise(found)
+    return found
