@@ -8,11 +8,14 @@ and it is joined back as one row, not as a window over a single partition.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.storage import store
 
 #: Weights of the parts of a score.
 TITLE, CONTENT, FUZZY, REPEAT, MOST_REPEATS, FUZZY_ALONE = 65, 35, 20, 3, 10, 0.7
@@ -84,14 +87,17 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def search(df: DataFrame, query: str, archived: DataFrame | None = None, active: str | None = None) -> DataFrame:
-    """Rows that match, with ``match`` and ``original_match``. ``archived``: category names that are hidden unless active."""
+def search(df: DataFrame, query: str, archived: DataFrame | None = None, active: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Rows that match, with ``match`` and ``original_match``. ``archived``: category names that are hidden unless active.
+
+    Scores are written once, as both the best and each share of it are taken from them; ``keep`` names the columns that
+    are wanted beside them (all of them by default)."""
     if archived is not None:
         hidden = archived.select(F.col("category")).where(~F.col("category").eqNullSafe(F.lit(active)))
         df = df.join(small(hidden), "category", "left_anti")
     # The filter would repeat the score below the projection, if it were merged with it.
-    scored = df.withColumn("match", F.explode(F.array(score(df, query))))
-    return relative(scored.where("match > 0"))
+    scored = df.withColumn("match", F.explode(F.array(score(df, query)))).where("match > 0")
+    return relative(store(scored.select(*(keep or df.columns), "match")))
 
 
 def result_limit(query: str) -> int | None:
@@ -131,14 +137,20 @@ def remote_score(name: Column, query: str) -> Column:
     return F.when(none, 0).otherwise(F.least(total, F.lit(100)))
 
 
-def postings(df: DataFrame, longest: int = 5) -> DataFrame:
-    """Inverted index: (id, field, term, n) of words and of phrases of two to ``longest`` words, from name and content."""
+def postings(df: DataFrame, longest: int = 5, query: str | None = None) -> DataFrame:
+    """Inverted index: (id, field, term, n) of words and of phrases of two to ``longest`` words, from name and content.
+
+    With a query only the terms that it asks for are taken out of a text, before any row is made of them."""
+    asked = search_terms(re.sub(r"[^\w\s]", "", query.lower())) if query else []
     fields = F.array(*(F.struct(F.lit(f).alias("field"), T.tokens(T.format_search(F.col(f))).alias("words")) for f in ("name", "content")))
     words = df.select("id", F.explode(fields).alias("x")).select("id", "x.field", "x.words")
 
     def phrases(k: int) -> Column:
         n = F.size("words")
         found = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(k)), " "))
+        if query:
+            own = [t for t, size, _ in asked if size == k]
+            found = F.filter(found, lambda t: reduce(lambda a, b: a | b, [t.startswith(o) if k == 1 else t == o for o in own], F.lit(False)))
         return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
 
     parts = F.array(*(F.struct(F.lit(k).alias("size"), phrases(k).alias("terms")) for k in range(1, longest + 1)))

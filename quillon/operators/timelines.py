@@ -44,10 +44,17 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, column
 
 
 def active_at(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, step: float) -> DataFrame:
-    """Pairs with start <= at < end. Intervals are dealt to the steps they touch, points to theirs: an equi-join."""
-    cells = intervals.withColumn("__c", F.explode(F.sequence(F.floor(F.col(start) / step), F.floor(F.col(end) / step))))
-    joined = points.withColumn("__c", F.floor(F.col(at) / step)).join(cells, [*by, "__c"])
-    return joined.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__c")
+    """Pairs with start <= at < end. Steps double in width from level to level; an interval is dealt to the one or two steps
+    that it touches on the level of its own width, however long it is, and a point to its step on each level that
+    has an interval: an equi-join on level and step."""
+    width = F.greatest((F.col(end) - F.col(start)) / step, F.lit(1.0))
+    leveled = intervals.where(F.col(start) < F.col(end)).withColumn("__l", F.ceil(F.log2(width)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("__l")) * step
+    cells = leveled.withColumn("__c", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))))
+    levels = sorted(r[0] for r in leveled.select("__l").distinct().where("__l is not null").collect())  # a few dozen at most
+    dealt = points.withColumn("__l", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__c", F.floor(F.col(at) / size))
+    joined = dealt.join(cells, [*by, "__l", "__c"])
+    return joined.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__l", "__c")
 
 
 def day_overlap(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -108,10 +115,13 @@ def rolling_mean(rows: DataFrame, by: Sequence[str], order: Sequence[str], value
 
 
 def smoothed(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float = 0.15) -> DataFrame:
-    """Last exponentially weighted mean of each group, from ordered values."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))), lambda x: x["__v"])
-    listed = rows.groupBy(*by).agg(values.alias("v"))
-    return listed.select(*by, F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.get("v", F.lit(0)), lambda a, x: alpha * x + (1 - alpha) * a).alias("smoothed"))
+    """Last exponentially weighted mean of each group: a sum of weights that fall with the rows that follow, so no group is
+    held in one row."""
+    later = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order))) - 1
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    weight = F.pow(F.lit(1 - alpha), F.col("__later")) * F.when(F.col("__first"), 1.0).otherwise(alpha)
+    ranked_ = rows.select(*by, F.col(value).cast("double").alias("__v"), later.alias("__later"), first.alias("__first"))
+    return ranked_.groupBy(*by).agg(F.sum(weight * F.col("__v")).alias("smoothed"))
 
 
 def interpolated(points: DataFrame, keys: DataFrame, by: Sequence[str], time: str, value: str) -> DataFrame:

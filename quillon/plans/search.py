@@ -48,7 +48,7 @@ SELECT id, round(m, 6) AS original_match, round(m / max(m) OVER () * 100, 6) AS
 @query(rank_sql("onand the ered", ["onand", "the", "ered"]))
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     archived = spark.createDataFrame([("src3",)], "category string")
-    found = S.search(catalogue(spark, sf_dir), "Onand, the ered!", archived)
+    found = S.search(catalogue(spark, sf_dir), "Onand, the ered!", archived, keep=["id"])
     return found.select("id", F.round("original_match", 6).alias("original_match"), F.round("match", 6).alias("match"))
 
 
@@ -59,11 +59,12 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("score", S.score(df, '"Of the"')).where("score > 0").select("id", "score")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN replace(p_name, ' ', '') = 'blue' OR starts_with(replace(p_name, ' ', ''), 'blue') THEN CAST(100 AS DOUBLE) ELSE 0 END AS score FROM part""")
+@query("""WITH f AS (SELECT p_partkey AS id, p_name, replace(p_name, ' ', '') AS flat FROM part),
+s AS (SELECT *, ((CASE WHEN contains(p_name, 'blue') THEN 1 ELSE 0 END) + (CASE WHEN contains(p_name, 'r') THEN 1 ELSE 0 END)) / 2.0 * 65 AS cover, 1 - levenshtein(flat, 'blue') / greatest(length(flat), 4) AS sim FROM f)
+SELECT id, round(CASE WHEN starts_with(flat, 'bluer') THEN 100 WHEN cover = 0 AND sim < 0.7 THEN 0 ELSE least(99, cover + 20 * sim) END, 6) AS score FROM s""")
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    hit = S.score(df, "BLUE")
-    return df.select("id", F.when(hit == 100, hit).otherwise(0.0).alias("score"))
+    return df.select("id", F.round(S.score(df, "BLUE r"), 6).alias("score"))
 
 
 @query("""SELECT p_partkey AS id, round(1 - levenshtein(replace(p_name, ' ', ''), 'ring') / length(replace(p_name, ' ', '')), 6) AS similarity
@@ -85,7 +86,7 @@ SELECT id, round(sum(CASE WHEN t.size > 1 THEN 20 * weight WHEN n.term = t.term
   ELSE 0.3 * weight * CASE field WHEN 'name' THEN 2.0 ELSE 0.5 END END), 6) AS score
 FROM n JOIN t ON n.size = t.size AND (n.term = t.term OR t.size = 1 AND starts_with(n.term, t.term)) GROUP BY id""")
 def phrase_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.index_search(S.postings(catalogue(spark, sf_dir), longest=3), "that and the")
+    found = S.index_search(S.postings(catalogue(spark, sf_dir), longest=3, query="that and the"), "that and the")
     return found.select("id", F.round("score", 6).alias("score"))
 
 

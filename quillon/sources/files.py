@@ -101,8 +101,10 @@ def rtf_text(c: Column) -> Column:
 
 
 def write_documents(df: DataFrame, path: str, key: str = "id") -> None:
-    """A folder of JSON for each document, by key."""
-    df.withColumn("__k", F.col(key)).write.partitionBy("__k").mode("overwrite").json(path)
+    """A file of JSON for each document, in 256 folders by a hash of the key, so that the commit handles as many folders
+    however many documents there are."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(256)).cast("int")
+    df.withColumn("__k", bucket).write.partitionBy("__k").option("maxRecordsPerFile", 1).mode("overwrite").json(path)
 
 
 def write_texts(df: DataFrame, path: str) -> None:
