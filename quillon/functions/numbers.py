@@ -115,7 +115,7 @@ def equaliser(bands: Column, frequency: Column) -> Column:
 
 def loudness_scale(n: Column) -> Column:
     """Factor for each of n channels so that together they are as loud as one."""
-    return 1 / F.sqrt(n)
+    return F.try_divide(F.lit(1.0), F.sqrt(n))
 
 
 def emu_pixels(emu: Column, dpi: int = 96, places: int = 2) -> Column:

@@ -48,19 +48,19 @@ def closest_form(c: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """1 less edit distance over the longer length; two empty texts are equal."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), longest))
 
 
 def coverage(text: Column, words: Column) -> Column:
     """Share of ``words`` that occur anywhere in ``text``."""
     n = F.size(words)
-    return F.when((n > 0) & (text != ""), F.size(F.filter(words, lambda w: F.contains(text, w))) / n).otherwise(0.0)
+    return F.when((n > 0) & (text != ""), F.try_divide(F.size(F.filter(words, lambda w: F.contains(text, w))), n)).otherwise(0.0)
 
 
 def occurrences(text: Column, part: Column) -> Column:
     """Number of occurrences that don't overlap, from the left."""
     n = F.length(part)
-    return F.when(n > 0, (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / n).otherwise(0).cast("int")
+    return F.when(n > 0, F.try_divide(F.length(text) - F.length(F.replace(text, part, F.lit(""))), n)).otherwise(0).cast("int")
 
 
 def natural_key(c: Column) -> Column:

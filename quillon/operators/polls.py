@@ -37,7 +37,7 @@ def percentages(answers: DataFrame, options: DataFrame) -> DataFrame:
     total = answers.groupBy("question").agg(F.count("*").alias("n"))
     chosen = answers.select("question", F.explode(F.array_distinct("value")).alias("option")).groupBy("question", "option").agg(F.count("*").alias("k"))
     joined = options.join(chosen, ["question", "option"], "left").join(total, "question", "left")
-    return joined.select("question", "option", F.coalesce(half_up(F.col("k") / F.col("n") * 100), F.lit(0)).cast("long").alias("percent"))
+    return joined.select("question", "option", F.coalesce(half_up(F.try_divide("k", "n") * 100), F.lit(0)).cast("long").alias("percent"))
 
 
 def leaderboard(clients: DataFrame, scored: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def score(df: DataFrame, query: str) -> Column:
 def relative(scored: DataFrame, column: str = "match") -> DataFrame:
     """Scores as a percentage of the best; the plain score is kept as ``original_match``."""
     best = scored.agg(F.max(column).alias("__best"))
-    share = F.when(F.col("__best") > 0, F.col("original_match") / F.col("__best") * 100).otherwise(0.0)
+    share = F.when(F.col("__best") > 0, F.try_divide("original_match", "__best") * 100).otherwise(0.0)
     return scored.withColumnRenamed(column, "original_match").join(F.broadcast(best)).withColumn(column, share).drop("__best")
 
 

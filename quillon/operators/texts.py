@@ -173,7 +173,7 @@ def is_chord_line(line: Column) -> Column:
     all_chords = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(f"^{CHORD}$"))
     bare = F.regexp_replace(line, r"\s", "")
     left = F.length(F.regexp_replace(bare, CHORD, ""))
-    return all_chords | ((F.length(bare) > 0) & (left / F.length(bare) <= 0.2))
+    return all_chords | (F.coalesce(F.try_divide(left, F.length(bare)) <= 0.2, F.lit(False)))
 
 
 def chords(line: Column) -> Column:

@@ -130,7 +130,7 @@ def interpolated(points: DataFrame, keys: DataFrame, by: Sequence[str], time: st
     w = Window.partitionBy(*by).orderBy(time, "__p")
     key = F.when(F.col("__p") == 0, F.struct(F.col(time).cast("double").alias("t"), F.col("__v").alias("v")))
     marked = both.withColumns({"a": F.last(key, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(key, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("__p = 1")
-    share = (F.col(time).cast("double") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    share = F.try_divide(F.col(time).cast("double") - F.col("a.t"), F.col("b.t") - F.col("a.t"))
     return marked.select(*by, time, F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull(), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share).alias(value))
 
 

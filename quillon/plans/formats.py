@@ -198,3 +198,34 @@ def source_osis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VERSES)
 def source_json_bible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bible(spark, sf_dir, S.json_bible, ('{"number":', ',"verses":[', "]}"), ('{"number":', ',"text":"', '"}'), ('{"name":"x","books":[{"number":1,"name":"Genesis","chapters":[', "]}]}"), between=",")
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS path, c_name AS key, CAST(c_custkey AS VARCHAR) AS value FROM customer")
+def source_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.map_from_entries(F.collect_list(F.struct("c_name", "c_custkey")))
+    stores = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.to_json(entries).alias("content"))
+    return S.key_values(stores)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77")
+def source_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("store/"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("path"), "c_custkey", "c_name")
+    return S.point(files, "77.json").select("c_custkey", "c_name")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS INT) AS place, role || ' ' || turn AS title, 'said in turn ' || turn AS description, 'http://x/' || conv_id || '/' || turn AS link FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)")
+def source_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = lambda p: p["turn"].cast("string")
+    items = _joined(lambda p: _text("<item><title>", p["role"], " ", turn(p), "</title><description><![CDATA[<p>said in <b>turn</b> ", turn(p), "</p>]]></description><link>http://x/", F.col("conv_id").cast("string"), "/", turn(p), "</link></item>"))
+    feeds = _songs(spark, sf_dir).select(F.col("conv_id").cast("string").alias("path"), _text('<rss version="2.0"><channel><title>t</title>', items, "</channel></rss>").alias("content"))
+    return S.rss_items(feeds)
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS project, 'Order ' || l_orderkey AS name, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS place, CAST(l_partkey AS VARCHAR) AS id,
+CASE WHEN l_returnflag = 'R' THEN 'section' ELSE 'show' END AS type, l_returnflag AS item_name FROM lineitem""")
+def source_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").cast("string").alias("id"), F.when(F.col("l_returnflag") == "R", "section").alias("type"), F.col("l_returnflag").alias("name"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    key = F.col("l_orderkey").cast("string")
+    project = F.struct(F.struct(_text("Order ", key).alias("name"), F.transform("items", lambda i: F.struct(i["id"].alias("id"), i["type"].alias("type"), i["name"].alias("name"))).alias("shows")).alias("project"))
+    return S.projects_json(rows.select(_text("projects/", key, ".project").alias("path"), F.to_json(project).alias("content")))

@@ -24,12 +24,12 @@ def _side(spark: SparkSession, sf_dir: str, cloud: bool) -> DataFrame:
     return table(spark, sf_dir, "customer").where(kept).select(F.lit("shows").alias("store"), _key().alias("key"), name.alias("value"), (_key() * (17 if cloud else 29) % 100).alias("modified"))
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decisions(spark: SparkSession, sf_dir: str, new_device: bool = False) -> DataFrame:
     marks = table(spark, sf_dir, "customer").where(_key() % 3 == 0)
     own = F.when(_key() % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("B")))
     none = F.expr(G.NONE)
     ledger = marks.select(F.lit("shows").alias("store"), _key().alias("key"), F.when(_key() % 4 < 2, own).otherwise(none).alias("created"), F.when(_key() % 4 >= 2, own).otherwise(none).alias("deleted"))
-    return G.decide(_side(spark, sf_dir, True), _side(spark, sf_dir, False), ledger, G.Run("A", ("A", "B", "C")))
+    return G.decide(_side(spark, sf_dir, True), _side(spark, sf_dir, False), ledger, G.Run("A", ("A", "B", "C"), new_device))
 
 
 DECIDED = f"""{SIDES}, j AS (SELECT coalesce(c.k, l.k) AS k, c.k IS NOT NULL AS cl, l.k IS NOT NULL AS lo, c.value AS cv, l.value AS lv, coalesce(c.modified, 0) AS cm, coalesce(l.modified, 0) AS lm FROM c FULL JOIN l ON c.k = l.k),
@@ -44,6 +44,12 @@ def ledger_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decisions(spark, sf_dir).select("key", "action", "value")
 
 
+@query(f"""WITH {DECIDED} SELECT k AS key, CASE WHEN NOT lo THEN 'create' WHEN NOT cl OR cm <= lm THEN 'upload' ELSE 'download' END AS action FROM d""")
+def new_device_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device that joins takes everything, whatever was deleted."""
+    return _decisions(spark, sf_dir, True).select("key", "action")
+
+
 @query(f"""WITH {DECIDED}, e AS (SELECT k, CASE WHEN mine THEN ['A'] ELSE ['A', 'B'] END AS pair, CASE WHEN mine THEN ['A'] ELSE ['B'] END AS own, * FROM d),
 s AS (SELECT k AS key, CASE mark WHEN 'created' THEN CASE WHEN cr THEN pair ELSE ['A'] END WHEN 'deleted' THEN [] ELSE CASE WHEN cr THEN own ELSE [] END END AS c, CASE mark WHEN 'deleted' THEN CASE WHEN de THEN pair ELSE ['A'] END WHEN 'created' THEN [] ELSE CASE WHEN de THEN own ELSE [] END END AS d FROM e)
 SELECT key, array_to_string(list_sort(c), ',') AS created, array_to_string(list_sort(d), ',') AS deleted FROM s WHERE len(c) > 0 OR len(d) > 0""")

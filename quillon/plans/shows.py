@@ -332,3 +332,33 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("a.b/c"), F.col("page_id").cast("string"), F.get(F.array(*map(F.lit, (".MP3", ".png?x=1", ".mov", ".txt"))), (F.col("page_id") % 4).cast("int")))
     stem = F.regexp_extract(T.base_name(path), r"^([^.]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", T.media_type(path).alias("media"), T.acronym(rest).alias("short"), M.last_two(F.col("page_id") % 10).alias("padded"), stem.alias("id"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id, turn, role FROM conversations), l AS (SELECT conv_id, turn * 10 AS n, '[' || role || ']' AS line FROM t
+UNION ALL SELECT conv_id, turn * 10 + 1, '[C]some [Am/E]words by ' || role || ' ' || turn FROM t WHERE turn % 3 <> 2 UNION ALL SELECT conv_id, turn * 10 + 1, 'C    Am/E' FROM t WHERE turn % 3 = 2)
+SELECT conv_id, CAST(n AS INT) AS n, line FROM l""")
+def chord_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header, chords and lyrics for each turn; some with an empty line between, some with no lyrics."""
+    from quillon.operators import charts as C
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
+    words = F.concat(F.lit("some words by "), "role", F.lit(" "), F.col("turn").cast("string"))
+    line = lambda k, text: F.struct((F.col("turn") * 10 + k).cast("int").alias("n"), text.alias("line"))
+    head, chords = line(0, F.concat(F.lit("["), "role", F.lit("]"))), line(1, F.lit("C    Am/E"))
+    plain, spaced, bare = F.array(head, chords, line(2, words)), F.array(head, chords, line(2, F.lit(" ")), line(3, words)), F.array(head, chords)
+    each = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, spaced).otherwise(bare)
+    lines = turns.select("conv_id", F.explode(each).alias("x")).select("conv_id", "x.n", "x.line")
+    return C.merged_chords(lines, ["conv_id"], "n", "line")
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), o AS (SELECT l_orderkey, bool_or(n = 2) AS a, bool_or(n = 4) AS z FROM d GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, n, CASE WHEN a AND z AND n BETWEEN 2 AND 4 THEN 3 WHEN a AND NOT z AND n >= 2 THEN 2 ELSE 1 END AS times FROM d JOIN o USING (l_orderkey)),
+c AS (SELECT l_orderkey, n, unnest(range(0, times)) AS k, times FROM r)
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN times = 1 AND n < 3 THEN 0 WHEN times > 1 THEN 1 ELSE 2 END, k, n) - 1 AS INT) AS ordinal, 'line ' || n AS line FROM c""")
+def repeat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block from the second line, twice, that the fourth ends, three times."""
+    from quillon.operators import charts as C
+
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().withColumns({"line": F.concat(F.lit("line "), n.cast("string")), "start": F.when(n == 2, 2), "end": F.when(n == 4, 3)})
+    return C.repeated_blocks(lines, ["l_orderkey"], "l_linenumber", "line", "start", "end")

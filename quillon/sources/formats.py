@@ -296,3 +296,30 @@ def videopsalm(files: DataFrame) -> DataFrame:
 
 
 ADAPTERS |= {"quelea": quelea_xml, "easyslides": easyslides_xml, "verseview": verseview_xml, "songbeamer": songbeamer, "videopsalm": videopsalm}
+
+
+def key_values(files: DataFrame) -> DataFrame:
+    """path, key, value (JSON or plain text) of store files that hold one JSON object; a file that can't be read has none."""
+    return files.select("path", F.explode(F.from_json("content", "map<string,string>")).alias("key", "value"))
+
+
+def point(files: DataFrame, name: str) -> DataFrame:
+    """The file of a name alone; the filter reaches the listing, so no other content is read."""
+    return files.where(F.col("path").endswith(f"/{name}"))
+
+
+def rss_items(files: DataFrame) -> DataFrame:
+    """path, place, title, description, link of a feed's items, in order; tags in descriptions go."""
+    x = files.withColumn("x", F.from_xml("content", "channel struct<item:array<struct<title:string,description:string,link:string>>>"))
+    items = x.select("path", F.posexplode("x.channel.item").alias("place", "i"))
+    bare = F.trim(F.regexp_replace(F.coalesce("i.description", F.lit("")), "<[^>]*>", ""))
+    return items.select("path", "place", F.coalesce("i.title", F.lit("")).alias("title"), bare.alias("description"), "i.link")
+
+
+def projects_json(files: DataFrame) -> DataFrame:
+    """project, name, place, id, type, item_name of the items of native projects: ``{project: {name, shows}}``."""
+    schema = "project struct<name:string,shows:array<struct<id:string,type:string,name:string>>>"
+    x = files.withColumn("x", F.from_json("content", schema))
+    items = x.select("path", F.col("x.project.name").alias("name"), F.posexplode("x.project.shows").alias("place", "i"))
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return items.select(stem.alias("project"), "name", "place", "i.id", F.coalesce("i.type", F.lit("show")).alias("type"), F.col("i.name").alias("item_name"))
