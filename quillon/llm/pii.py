@@ -126,3 +126,38 @@ def digest(found: DataFrame) -> DataFrame:
     line = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k in ORDER[:4]), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def _kind_sql(name: str, pattern: str) -> str:
+    """Matches of a base kind with their places: the text is split at marks around each match."""
+    return f"""SELECT doc_id, '{name}' AS kind, split_part(part, chr(2), 1) AS m, CAST(before AS BIGINT) AS start_ FROM (
+  SELECT doc_id, part, i, coalesce(sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(x, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM t))) WHERE i > 1"""
+
+
+#: The same with marks around the base kinds' matches, and place by place for the kinds with conditions on what stands around them.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS x, coalesce(text, '') AS raw FROM documents),
+b AS ({_kind_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")} UNION ALL {_kind_sql("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}
+  UNION ALL {_kind_sql("card", r"[0-9]([ -]?[0-9])+")} UNION ALL {_kind_sql("phone", r"\+[0-9][ ().0-9-]+[0-9]")}),
+d AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM b),
+base AS (SELECT doc_id, kind, start_, start_ + length(m) AS end_ FROM d WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+  ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(digits, length(digits) - i, 1) AS INT)
+    ELSE CAST(substr(digits, length(digits) - i, 1) AS INT) * 2 - CASE WHEN CAST(substr(digits, length(digits) - i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END),
+p AS (SELECT doc_id, x, unnest(range(1, length(x) + 1)) AS i FROM t WHERE regexp_matches(x, '[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}')),
+pm AS (SELECT doc_id, x, i FROM p WHERE regexp_matches(substr(x, i, 12), '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$') AND NOT (i > 1 AND regexp_matches(substr(x, i - 1, 1), '[0-9+.-]')) AND NOT regexp_matches(substr(x, i + 12, 1), '[0-9.-]')),
+pc AS (SELECT *, greatest(i - 40, coalesce(lag(i + 12) OVER (PARTITION BY doc_id ORDER BY i), 1)) AS near FROM pm),
+national AS (SELECT doc_id, 'phone' AS kind, i - 1 AS start_, i + 11 AS end_ FROM pc WHERE regexp_matches(lower(substr(x, near, i - near)), 'phone|tel|call|mobile|fax')),
+q AS (SELECT doc_id, x, unnest(range(1, length(x) + 1)) AS i FROM t WHERE regexp_matches(x, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11}}')),
+qm AS (SELECT doc_id, i, regexp_extract(substr(x, i, 34), '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AS code, x FROM q WHERE NOT (i > 1 AND regexp_matches(substr(x, i - 1, 1), '[A-Za-z0-9]'))),
+iban AS (SELECT doc_id, 'iban' AS kind, i - 1 AS start_, i - 1 + length(code) AS end_ FROM qm WHERE code <> '' AND NOT regexp_matches(substr(x, i + length(code), 1), '[A-Za-z0-9]')
+  AND list_reduce(list_prepend(0, list_transform(string_split(substr(code, 5) || substr(code, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1),
+more AS (SELECT * FROM iban UNION ALL SELECT n.* FROM national n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = n.doc_id AND b.kind = 'phone' AND b.start_ < n.end_ AND n.start_ < b.end_)),
+r AS (SELECT *, true AS own FROM base UNION ALL SELECT *, false FROM more),
+o AS (SELECT *, kind || ':' || start_ || ':' || end_ AS shown, list_position(['email', 'ip', 'card', 'phone', 'iban'], kind) AS rank FROM r),
+g AS (SELECT doc_id, count(*) FILTER (WHERE own AND kind = 'email') AS n_email, count(*) FILTER (WHERE own AND kind = 'ip') AS n_ip, count(*) FILTER (WHERE own AND kind = 'card') AS n_card, count(*) FILTER (WHERE own AND kind = 'phone') AS n_phone,
+  string_agg(shown, ',' ORDER BY start_, rank) FILTER (WHERE own) AS base, string_agg(shown, ',' ORDER BY start_, rank) AS spans FROM o GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)
+"""

@@ -80,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_dedup": embedding_tiles.ORACLE,
         "op8_decontamination": decontam.ORACLE,
         "op9_line_dedup": line_chunks.ORACLE,
+        "op10_pii": pii.ORACLE,
     }

@@ -57,3 +57,18 @@ def test_against_python_on_the_corpus(spark):
     got = pii.digest(pii.personal_data(docs))
     assert sorted(tuple(r)[:6] for r in got.collect()) == want
     assert "PythonUDF" not in got._jdf.queryExecution().toString()
+
+
+def test_against_sql(spark, tmp_path):
+    """The registered SQL over the awkward texts, where every kind and every condition around a match occurs."""
+    import duckdb
+
+    more = ["call 555-123-4567 or 555.123.4567 now", "tel +1 555-123-4567 and mobile 555 123 4567", "fax 12555-123-4567 phone 555-123-4567-8", "xDE89370400440532013000 DE89370400440532013000_ GB82WEST12345698765432."]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*(t for t in TEXTS if len(t) < 20_000), *more, None, ""])], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    got = pii.digest(pii.personal_data(docs))
+    want = con.execute(pii.ORACLE).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert sum("iban" in r[-1] for r in want) >= 2 and sum("phone" in r[-1] for r in want) >= 4
