@@ -78,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_reputation.ORACLE,
         "op3_embedding_dedup": embedding_tiles.ORACLE,
+        "op6_suffix_dedup": suffix_dedup.ORACLE,
         "op8_decontamination": decontam.ORACLE,
         "op9_line_dedup": line_chunks.ORACLE,
         "op10_pii": pii.ORACLE,

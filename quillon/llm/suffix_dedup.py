@@ -383,3 +383,18 @@ def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["start"]))
     return found.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: The same over every window of 200 bytes by its digest, in hexadecimal text (two characters a byte).
+ORACLE = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM t),
+x AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM w),
+m AS (SELECT r, i FROM x SEMI JOIN (SELECT k FROM x GROUP BY k HAVING count(*) > 1) USING (k)),
+s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM m),
+g AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+n AS (SELECT r, run, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, run),
+p AS (SELECT n.*, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM n),
+k AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM p JOIN t USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+"""
