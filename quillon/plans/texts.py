@@ -75,12 +75,23 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"))
 
 
-@query()
+#: Greedy wrapping to 40 characters as a fold over the words.
+WRAPPED = """w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations),
+f AS (SELECT conv_id, turn, list_reduce(list_prepend({'lines': 0, 'at': 0}, list_transform(ws, lambda x: {'lines': 0, 'at': CAST(length(x) AS INT)})),
+  lambda s, x: CASE WHEN s['at'] > 0 AND s['at'] + 1 + x['at'] <= 40 THEN {'lines': s['lines'], 'at': CAST(s['at'] + 1 + x['at'] AS INT)}
+    ELSE {'lines': CAST(s['lines'] + ceil(x['at'] / 40.0) AS INT), 'at': CAST(x['at'] - (ceil(x['at'] / 40.0) - 1) * 40 AS INT)} END)['lines'] AS lines FROM w)"""
+
+
+@query(f"WITH {WRAPPED} SELECT conv_id, turn, lines FROM f")
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.wrapped_lines(F.col("text"), 40).alias("lines"))
 
 
-@query()
+@query(f"""WITH {WRAPPED}, v AS (SELECT conv_id, list({{'turn': turn, 'lines': lines, 'used': 0, 'slide': -1, 'out': CAST([] AS INT[])}} ORDER BY turn, lines) AS v FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, v, list_reduce(list_prepend({{'turn': CAST(-1 AS INT), 'lines': 0, 'used': 0, 'slide': -1, 'out': CAST([] AS INT[])}}, v), lambda s, x: CASE WHEN s['slide'] >= 0 AND s['used'] + x['lines'] <= 12
+  THEN {{'turn': x['turn'], 'lines': x['lines'], 'used': s['used'] + x['lines'], 'slide': s['slide'], 'out': list_append(s['out'], s['slide'])}}
+  ELSE {{'turn': x['turn'], 'lines': x['lines'], 'used': x['lines'], 'slide': s['slide'] + 1, 'out': list_append(s['out'], s['slide'] + 1)}} END)['out'] AS slides FROM v),
+u AS (SELECT conv_id, unnest(v) AS x, unnest(slides) AS slide FROM r) SELECT conv_id, x['turn'] AS turn, slide FROM u""")
 def fitted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fitted_groups(wrapped_lines(spark, sf_dir), "conv_id", "turn", "lines", 12)
 
