@@ -10,8 +10,9 @@ multiplied first; what is left of the product is bounded by the product of the s
 reach the threshold stop there. The rest is compared over more dimensions, then in double precision on the
 original unit vectors, which alone decides.
 
-A task never sends its pairs: it sends a count for each row and a spanning set of links. So memory and rows are
-bounded by the strip, whatever the size of a group of copies.
+Equal vectors are compared once, with a number of times, and linked among themselves. A task never sends its pairs: it
+sends a count for each row and a spanning set of links. So memory and rows are bounded by the strip, whatever the
+size of a group of copies.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
 vectors of different lengths don't link. Rows with equal ids are vectors of their own; a null id is never a
@@ -20,6 +21,7 @@ component's id unless all are null. Extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, local_roots, numbered, store
+from quillon.llm.common import components, drop, local_roots, numbered, store
 
 SLACK = 1e-4
 
@@ -108,7 +110,8 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
             for d, part in frame.groupby(frame["v"].map(len)):
                 x = unit(part["v"].tolist())
                 y = x @ axes(d)[:, :lead]
-                yield pd.DataFrame({"rid": part["rid"].to_numpy(), "d": int(d), "first": y[:, 0], "second": y[:, min(1, d - 1)], "x": [r.tobytes() for r in x]})
+                raw = [r.tobytes() for r in x]
+                yield pd.DataFrame({"rid": part["rid"].to_numpy(), "d": int(d), "first": y[:, 0], "second": y[:, min(1, d - 1)], "h": [hashlib.md5(r).digest() for r in raw], "x": raw})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Neighbours of one length by ``strip`` rows, over the batches' ends."""
@@ -119,7 +122,7 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
             d = int(rows["d"].iloc[0])
             raw = b"".join(rows["x"])
             y = np.frombuffer(raw).reshape(-1, d) @ axes(d)[:, :lead]
-            return pd.DataFrame({"d": [d], "low": [y.min(0)], "high": [y.max(0)], "n": [len(rows)], "ids": [rows["rid"].to_numpy(np.int64).tobytes()], "x": [raw]})
+            return pd.DataFrame({"d": [d], "low": [y.min(0)], "high": [y.max(0)], "n": [len(rows)], "ids": [rows["rid"].to_numpy(np.int64).tobytes()], "times": [rows["m"].to_numpy(np.int64).tobytes()], "x": [raw]})
 
         for frame in frames:
             for d, part in frame.groupby("d"):
@@ -136,29 +139,36 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
         if held:
             yield packed()
 
-    turned = store(fit.select("rid", "v").mapInPandas(turn, "rid long, d int, first double, second double, x binary"))
-    strips = max(1, -(-turned.count() // strip))
+    turned = store(fit.select("rid", "v").mapInPandas(turn, "rid long, d int, first double, second double, h binary, x binary"))
+    # Equal vectors are one row with a number of times; partial sums come first, so their number is no task's.
+    same = turned.groupBy("h").agg(F.min("rid").alias("to"), F.count("*").alias("m"))
+    copies = store(turned.select("rid", "h").join(same.hint("merge"), "h").select("rid", "to", "m"))
+    alone = store(turned.join(copies.where("rid = to").select("rid", "m").hint("merge"), "rid").drop("h"))
+    drop(turned)
+    strips = max(1, -(-alone.count() // strip))
     # Parts as wide in the first component as strips are in the second.
-    ordered = turned.repartitionByRange(max(1, round(strips**0.5)), "d", "first", "rid").sortWithinPartitions("d", "second")
-    packs = store(numbered(ordered.mapInPandas(pack, "d int, low array<double>, high array<double>, n long, ids binary, x binary"), "pack"))
+    ordered = alone.repartitionByRange(max(1, round(strips**0.5)), "d", "first", "rid").sortWithinPartitions("d", "second")
+    packs = store(numbered(ordered.mapInPandas(pack, "d int, low array<double>, high array<double>, n long, ids binary, times binary, x binary"), "pack"))
     plan = store(meetings(packs, least))
     sides = plan.select("a", "b", F.col("a").alias("pack"), F.lit(False).alias("second")).unionByName(plan.where("a != b").select("a", "b", F.col("b").alias("pack"), F.lit(True).alias("second")))
 
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         d = int(frame["d"].iloc[0])
 
-        def side(part: pd.DataFrame) -> tuple[np.ndarray, Strip]:
-            return np.frombuffer(b"".join(part["ids"]), dtype=np.int64), Strip(np.frombuffer(b"".join(part["x"])).reshape(-1, d), axes(d))
+        def side(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Strip]:
+            ids, times = (np.frombuffer(b"".join(part[c]), dtype=np.int64) for c in ("ids", "times"))
+            return ids, times, Strip(np.frombuffer(b"".join(part["x"])).reshape(-1, d), axes(d))
 
-        ids, one = side(frame[~frame["second"]])
+        ids, times, one = side(frame[~frame["second"]])
         two, n_one = one, len(ids)
         if key[0] != key[1]:
-            more, two = side(frame[frame["second"]])
-            ids = np.concatenate([ids, more])
+            more, more_times, two = side(frame[frame["second"]])
+            ids, times = np.concatenate([ids, more]), np.concatenate([times, more_times])
         at = 0 if two is one else n_one
         hits, roots = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         for i, j in compare(one, two, least):
-            hits += np.bincount(i, minlength=len(ids)) + np.bincount(j + at, minlength=len(ids))
+            np.add.at(hits, i, times[j + at])
+            np.add.at(hits, j + at, times[i])
             roots = local_roots(len(ids), i, j + at, roots)
         found = np.flatnonzero(hits)
         return pd.DataFrame({"rid": ids[found], "n": hits[found], "to": ids[roots[found]]})
@@ -167,8 +177,10 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
     pairs = packs.join(sides, "pack").repartition(max(1, -(-plan.count() // 2)), "a", "b")
     met = store(pairs.groupBy("a", "b").applyInPandas(meet, "rid long, n long, to long"))
     found = components(met.where("rid != to").select(F.col("rid").alias("a"), F.col("to").alias("b")))
-    counts = met.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    named = store(base.select("rid", "vec_id").join(found.withColumnRenamed("node", "rid"), "rid", "left").join(counts, "rid", "left").select("vec_id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    counts = met.groupBy("rid").agg(F.sum("n").alias("n"))
+    of_rep = copies.where("rid = to").select("to").join(found.withColumnRenamed("node", "to"), "to", "left").join(counts.withColumnRenamed("rid", "to"), "to", "left")
+    of_copy = copies.join(of_rep.hint("merge"), "to").select("rid", F.coalesce("root", "to").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    named = store(base.select("rid", "vec_id").join(of_copy.hint("merge"), "rid", "left").select("vec_id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least_id = store(named.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     return named.join(least_id, "root").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
