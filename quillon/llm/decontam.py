@@ -71,25 +71,27 @@ class Searcher:
         return block, shift, dict(buckets)
 
     def find(self, text: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        get = self.number.get
-        own = array("i", [get(w, -1) for w in text])
-        n, many = len(own), self.many
+        get, n, many = self.number.get, len(text), self.many
         for m, block, shift, buckets, windows in self.tables:
             far, end = m - block + 1, m
             while end <= n:
-                last = own[end - 1]
-                if last < 0:
+                # Only words that the search stops at are looked up.
+                key = get(text[end - 1], -1)
+                if key < 0:
                     end += m
                     continue
-                jump = shift.get(last if block == 1 else own[end - 2] * many + last if own[end - 2] >= 0 else -1, far)
+                if block == 2:
+                    before = get(text[end - 2], -1)
+                    key = before * many + key if before >= 0 else -1
+                jump = shift.get(key, far)
                 if jump:
                     end += jump
                     continue
                 start = end - m
-                here = own[start:end]
+                here = array("i", [get(w, -1) for w in text[start:end]])
                 if min(here) >= 0:
                     first, raw = self._key(here[:block]), here.tobytes()
-                    if any(head == first and bytes_ == raw for head, bytes_ in buckets[self._key(here[m - block :])]):
+                    if any(head == first and bytes_ == raw for head, bytes_ in buckets[key]):
                         yield start, m, windows[raw]
                 end += 1
 
