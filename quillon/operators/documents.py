@@ -154,3 +154,53 @@ def template_overlay(slides: DataFrame, template: DataFrame, keep_overflow: bool
     right = template.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy("pos"))).select("type", "nth", F.col("style").alias("over"))
     out = left.join(small(right), ["type", "nth"], "left" if keep_overflow else "inner")
     return out.select("slide", "pos", "type", F.coalesce("over", "style").alias("style"))
+
+
+def at_path(path: str) -> Column:
+    """A field of a document, or of a field of it (``meta.title``); null where there is none."""
+    head, _, tail = path.partition(".")
+    return F.col(head)[tail] if tail else F.col(head)
+
+
+def slides_of(shows: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
+    """id, place and the slide's fields of the chosen slides (all of them by default) of each document."""
+    chosen = F.col("slides") if ids is None else F.filter("slides", lambda s: s["id"].isin(*ids))
+    return shows.select("id", F.posexplode(chosen).alias("place", "s")).select("id", "place", F.col("s.id").alias("slide"), "s.group", "s.notes", "s.children", "s.items")
+
+
+def item_lines(slides: DataFrame, items: Sequence[int] | None = None, lines: Sequence[int] | None = None) -> DataFrame:
+    """The chosen lines of the chosen items of slides: id, slide, item, line, text; numbers count from 0."""
+    each = slides.select("id", "slide", F.posexplode("items").alias("item", "i"))
+    each = each if items is None else each.where(F.col("item").isin(*items))
+    out = each.select("id", "slide", "item", F.posexplode("i.lines").alias("line", "text"))
+    return out if lines is None else out.where(F.col("line").isin(*lines))
+
+
+def trimmed(shows: DataFrame, keep: Sequence[str] = ("number", "ccli")) -> DataFrame:
+    """What a catalogue holds of a document: id, name, category and some of its metadata, no slides."""
+    return shows.select("id", "name", "category", F.map_filter("meta", lambda k, _: k.isin(*keep)).alias("quick"))
+
+
+def split_markup(text: Column, most: int | Column) -> Column:
+    """A text with tags in pieces of at most ``most`` visible characters, cut between words; a word with its tags stays
+    whole, so no tag is cut. A tag that is open at a cut is closed there and opened again in the next piece."""
+    words = F.filter(F.split(text, r"\s+(?![^<]*>)"), lambda w: w != "")
+    visible = lambda w: F.length(F.regexp_replace(w, "<[^>]*>", ""))
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(none.alias("done"), F.lit("").alias("piece"), F.lit(0).alias("n"), none.alias("open"))
+
+    def opened(have: Column, w: Column) -> Column:
+        tags = F.regexp_extract_all(w, F.lit(r"<(/?[A-Za-z][A-Za-z0-9]*)[^>]*>"), F.lit(1))
+        return F.aggregate(tags, have, lambda s, t: F.when(t.startswith("/"), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(t))))
+
+    closing = lambda o: F.array_join(F.transform(F.reverse(o), lambda t: F.concat(F.lit("</"), t, F.lit(">"))), "")
+    opening = lambda o: F.array_join(F.transform(o, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "")
+
+    def step(s: Column, w: Column) -> Column:
+        n = visible(w)
+        fits = (s["n"] == 0) | (s["n"] + 1 + n <= most)
+        piece = F.when(s["n"] == 0, F.concat(s["piece"], w)).when(fits, F.concat(s["piece"], F.lit(" "), w)).otherwise(F.concat(opening(s["open"]), w))
+        done = F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(F.concat(s["piece"], closing(s["open"])))))
+        return F.struct(done.alias("done"), piece.alias("piece"), F.when(fits & (s["n"] > 0), s["n"] + 1 + n).otherwise(n).cast("int").alias("n"), opened(s["open"], w).alias("open"))
+
+    return F.aggregate(words, start, step, lambda s: F.when(s["piece"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["piece"]))))

@@ -157,3 +157,22 @@ def timer_value(kind: Column, start: Column, end: Column, elapsed: Column, overf
     now = F.when(up, start + elapsed).otherwise(start - elapsed)
     held = F.when(up, F.least(now, end)).otherwise(F.greatest(now, end))
     return F.when(kind == "counter", F.when(overflow, now).otherwise(held)).otherwise(F.when(overflow, now).otherwise(F.greatest(now, F.lit(0))))
+
+
+def crossed_zero(timers: DataFrame, left_s: Column, tick_s: float = 1.0) -> DataFrame:
+    """Timers whose time left became negative within the last tick."""
+    return timers.where((left_s < 0) & (left_s >= -tick_s))
+
+
+def fetches(requests: DataFrame, by: Sequence[str], time: str, tie: str, life: int) -> DataFrame:
+    """Requests with ``fetched``: whether the cached answer is older than its life, which a fetch starts anew. A fold over
+    each key's times, as each fetch hangs on the one before."""
+    rows = requests.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("k")))).alias("r"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<boolean>)").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        due = F.coalesce(x["t"] - s["last"] >= life, F.lit(True))
+        return F.struct(F.when(due, x["t"]).otherwise(s["last"]).cast("long").alias("last"), F.concat(s["out"], F.array(due)).alias("out"))
+
+    each = rows.select(*by, F.explode(F.arrays_zip("r", F.aggregate("r", start, step)["out"].alias("f"))).alias("z"))
+    return each.select(*by, F.col("z.r.t").alias(time), F.col("z.r.k").alias(tie), F.col("z.f").alias("fetched"))

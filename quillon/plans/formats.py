@@ -229,3 +229,94 @@ def source_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey").cast("string")
     project = F.struct(F.struct(_text("Order ", key).alias("name"), F.transform("items", lambda i: F.struct(i["id"].alias("id"), i["type"].alias("type"), i["name"].alias("name"))).alias("shows")).alias("project"))
     return S.projects_json(rows.select(_text("projects/", key, ".project").alias("path"), F.to_json(project).alias("content")))
+
+
+@query("""WITH f AS (SELECT '/media/' || p_size || '/' || replace(p_name, ' ', '_') || '.MP3' AS path, replace(p_name, ' ', '_') || '.mp3' AS n FROM part),
+b AS (SELECT n, arg_min(path, (length(path), path)) AS found FROM f GROUP BY n)
+SELECT '/old/' || p_partkey || '/' || replace(p_name, ' ', '_') || '.mp3' AS path, found FROM part LEFT JOIN b ON n = replace(p_name, ' ', '_') || '.mp3'""")
+def source_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media files that were moved, by name whatever its case: the shortest path."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    part = table(spark, sf_dir, "part")
+    missing = part.select(_text("/old/", F.col("p_partkey").cast("string"), "/", name, ".mp3").alias("path"))
+    return S.located(missing, part.select(_text("/media/", F.col("p_size").cast("string"), "/", name, ".MP3").alias("path")))
+
+
+@query("SELECT event_type AS folder, CAST(sum(event_id) AS BIGINT) AS size, count(*) AS files FROM events GROUP BY event_type")
+def source_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "events").select(_text("/backups/", F.col("event_type"), "/", F.col("event_id").cast("string")).alias("path"), F.col("event_id").alias("length"))
+    return S.backups(files)
+
+
+def _shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.shows_json(_documents(spark, sf_dir))[0]
+
+
+@query(f"WITH f AS ({SONGS.format(GROUPED)}), s AS (SELECT name, slide, any_value(\"group\") AS g, string_agg(line, chr(10) ORDER BY ordinal) AS t FROM f GROUP BY name, slide) SELECT name, string_agg('[' || g || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY slide) AS text FROM s GROUP BY name")
+def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import documents as D
+
+    shows = _shows(spark, sf_dir)
+    return D.export_text(shows).join(shows.select("id", "name"), "id").select("name", "text")
+
+
+@query(f"WITH f AS ({SONGS.format(GROUPED)}) SELECT substr(name, 6) AS id, lower(string_agg(line, ' ' ORDER BY slide, ordinal)) AS content FROM f GROUP BY name")
+def text_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import documents as D
+
+    ordered = F.array_sort("slides", lambda a, b: F.when(a["id"] < b["id"], -1).otherwise(1))
+    return D.text_cache(_shows(spark, sf_dir).withColumn("slides", ordered))
+
+
+def _rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows of a database file as its reader gives them."""
+    return df.select(F.lit("songs.sqlite").alias("path"), F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row"))
+
+
+@query("""WITH a AS (SELECT l_partkey, string_agg(s_name, ',' ORDER BY l_suppkey, s_name) AS authors FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey)
+SELECT CAST(p_partkey AS INT) AS id, p_name AS title, coalesce(authors, '') AS authors FROM part LEFT JOIN a ON l_partkey = p_partkey""")
+def source_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources import files as R
+
+    songs = _rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("lyrics")), "songs")
+    links = _rows(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("author_id"), F.col("l_partkey").alias("song_id")), "authors_songs")
+    authors = _rows(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("display_name")), "authors")
+    found = R.songs_with_authors(songs.unionByName(links).unionByName(authors))
+    return found.select("id", "title", F.array_join("authors", ",").alias("authors"))
+
+
+@query("SELECT o_orderkey AS song_id, o_orderpriority AS words, c_name AS title FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0 WHERE true")
+def source_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words keep their row where the song is missing."""
+    from quillon.sources import files as R
+
+    songs = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("rowid"), F.col("c_name").alias("title"))
+    words = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("song_id"), "o_orderkey", F.col("o_orderpriority").alias("words"))
+    return R.songs_with_words(songs, words).select(F.col("o_orderkey").alias("song_id"), "words", "title")
+
+
+@query("""SELECT o_orderkey, (SELECT string_agg('v' || n, ',' ORDER BY n) FROM (SELECT DISTINCT l_linenumber AS n FROM lineitem WHERE l_orderkey = o_orderkey)) AS verses FROM orders""")
+def source_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources import files as R
+
+    verses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("Record"), F.col("l_linenumber").alias("Number")).distinct().withColumn("Text", F.concat(F.lit("v"), F.col("Number").cast("string")))
+    songs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Record"))
+    return R.verses_in_order(songs, verses).select(F.col("Record").alias("o_orderkey"), F.array_join("verses", ",").alias("verses"))
+
+
+@query(f"WITH f AS ({SONGS.format(GROUPED)}) SELECT substr(name, 6) AS id, 's' || lpad(CAST(slide AS VARCHAR), 4, '0') AS slide, \"group\", line AS text FROM f WHERE slide IN (1, 3) AND ordinal = 1")
+def slide_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second line of the first item of two slides."""
+    from quillon.operators import documents as D
+
+    slides = D.slides_of(_shows(spark, sf_dir), ["s0001", "s0003"])
+    return D.item_lines(slides, [0], [1]).join(slides.select("id", "slide", "group"), ["id", "slide"]).select("id", "slide", "group", "text")
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id, 'Song ' || conv_id AS name, CAST(conv_id % 90 AS VARCHAR) AS number, 1 AS kept FROM conversations")
+def catalogue_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import documents as D
+
+    meta = F.create_map(F.lit("number"), (F.col("id").cast("long") % 90).cast("string"), F.lit("author"), F.lit("someone"))
+    shows = _shows(spark, sf_dir).withColumn("meta", meta)
+    return D.trimmed(shows.withColumn("name", D.at_path("name"))).select("id", "name", D.at_path("quick.number").alias("number"), F.size("quick").alias("kept"))

@@ -362,3 +362,93 @@ def repeat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().withColumns({"line": F.concat(F.lit("line "), n.cast("string")), "start": F.when(n == 2, 2), "end": F.when(n == 4, 3)})
     return C.repeated_blocks(lines, ["l_orderkey"], "l_linenumber", "line", "start", "end")
+
+
+@query(f"""WITH d AS (SELECT event_id, ts, floor((epoch_us(TIMESTAMP '{NOW}') // 1000 - epoch_us(ts) // 1000) / 86400000.0) AS days FROM events)
+SELECT event_id, CASE WHEN days < 1 THEN 'Today' WHEN days < 2 THEN 'Yesterday' WHEN days < 7 THEN CAST(days AS INT) || ' days ago' ELSE strftime(ts, '%d.%m.%Y') END AS shown FROM d""")
+def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", M.relative_date(F.col("ts").cast("timestamp"), _now()).alias("shown"))
+
+
+@query("""WITH t AS (SELECT event_id, event_id % 3 AS k, event_id % 50 AS a, event_id % 31 AS b, event_id % 40 AS e, event_id % 2 = 0 AS o FROM events), v AS (SELECT *, CASE WHEN a <= b THEN a + e ELSE a - e END AS n FROM t)
+SELECT event_id, CASE WHEN k = 0 THEN CASE WHEN o THEN n WHEN a <= b THEN least(n, b) ELSE greatest(n, b) END WHEN o THEN n ELSE greatest(n, 0) END AS value FROM v""")
+def timer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import timelines as L
+
+    k = F.col("event_id")
+    value = L.timer_value(F.when(k % 3 == 0, "counter").otherwise("clock"), k % 50, k % 31, k % 40, k % 2 == 0)
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+@query("SELECT p_partkey, p_type AS color, p_size || 'px' AS top, 2 AS n FROM part")
+def style_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    style = F.concat(F.lit("color: red; top : "), F.col("p_size").cast("string"), F.lit("px;; none; color:"), "p_type")
+    parts = table(spark, sf_dir, "part").select("p_partkey", T.style_map(style).alias("m"))
+    return parts.select("p_partkey", F.element_at("m", "color").alias("color"), F.element_at("m", "top").alias("top"), F.size("m").alias("n"))
+
+
+@query("""SELECT page_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS INT) AS hash FROM pages""")
+def path_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.string_hash32(F.col("url")).alias("hash"))
+
+
+@query("SELECT p_partkey, p_size % 7 <> 0 AS equal FROM part")
+def equal_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators.catalogue import object_equal
+
+    size = F.col("p_size").cast("string")
+    one = F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), size)
+    two = F.create_map(F.lit("size"), F.when(F.col("p_size") % 7 == 0, F.concat(size, F.lit("x"))).otherwise(size), F.lit("name"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", object_equal(one, two).alias("equal"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS chords, CASE p_size % 3 WHEN 0 THEN '0:C,3:G/B,8:Am7' ELSE '' END AS places FROM part")
+def chord_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import charts as C
+    from quillon.operators import texts as X
+
+    kind = F.col("p_size") % 3
+    line = F.when(kind == 0, "C  G/B  Am7").when(kind == 1, F.concat("p_name", F.lit(" "), "p_type")).otherwise("")
+    chords = X.is_chord_line(line)
+    places = F.array_join(F.transform(C.chord_places(line), lambda p: F.concat_ws(":", p["at"].cast("string"), p["chord"])), ",")
+    return table(spark, sf_dir, "part").select("p_partkey", chords.alias("chords"), F.when(chords, places).otherwise("").alias("places"))
+
+
+@query("SELECT n_name AS book, c_custkey AS verse FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation) AND contains(lower(c_name), '7') ORDER BY c_custkey LIMIT 50")
+def verse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that begins with a book's name, then words to look for in it."""
+    from quillon.operators import scripture as R
+
+    names = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]  # the books
+    book, rest = R.split_query(f"{names[0].lower()} 7", names)
+    verses = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("book"), F.lit(1).alias("chapter"), F.col("c_custkey").alias("verse"), F.col("c_name").alias("text"))
+    return R.contains(verses, rest, book).select("book", "verse")
+
+
+@query("""WITH t AS (SELECT p_partkey, '<b>' || p_name || '</b> ' || p_type || ' <i>and <u>' || p_brand || '</u></i>' AS x FROM part),
+v AS (SELECT p_partkey, x, length(p_name) AS a, length(p_type) AS b, length(p_brand) AS c, p_name, p_type, p_brand FROM t JOIN part USING (p_partkey))
+SELECT p_partkey, '<b>' || p_name || '</b> ' || p_type || ' <i>and</i>' AS first, '<i><u>' || p_brand || '</u></i>' AS second FROM v""".replace("AS first", 'AS "first"').replace("AS second", 'AS "second"'))
+def markup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag that is open at the cut is closed there and opened again."""
+    text = F.concat(F.lit("<b>"), "p_name", F.lit("</b> "), "p_type", F.lit(" <i>and <u>"), "p_brand", F.lit("</u></i>"))
+    most = F.length("p_name") + F.length("p_type") + 5
+    parts = table(spark, sf_dir, "part").withColumn("p", D.split_markup(text, most))
+    return parts.select("p_partkey", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, t, k, true AS fetched, t AS last FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.k, e.t - f.last >= 172800000000, CASE WHEN e.t - f.last >= 172800000000 THEN e.t ELSE f.last END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, fetched FROM f""")
+def cache_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import timelines as L
+
+    return L.fetches(table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")), ["user_id"], "t", "event_id", 172_800_000_000).select("event_id", "fetched")
+
+
+@query(f"SELECT event_id FROM events WHERE epoch_us(ts) - epoch_us(TIMESTAMP '{NOW}') < 0 AND epoch_us(ts) - epoch_us(TIMESTAMP '{NOW}') >= -3600000000")
+def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timers that passed zero within the last tick (of an hour here)."""
+    from quillon.operators import timelines as L
+
+    return L.crossed_zero(table(spark, sf_dir, "events"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(_now())) / 1e6, 3600).select("event_id")
