@@ -256,3 +256,8 @@ def filled(text: Column, values: dict[str, Column], drop: tuple[str, ...] = ())
     for name in drop:
         text = F.replace(F.replace(text, F.lit(f"{{{name}}} "), F.lit("")), F.lit(f"{{{name}}}"), F.lit(""))
     return text
+
+
+def without_tokens(lines: Column) -> Column:
+    """Lines without dynamic tokens such as ``{time_h}``."""
+    return F.transform(lines, lambda x: F.regexp_replace(x, r"\{[A-Za-z]\w*(?:[#|][^{}]*)?\}", ""))

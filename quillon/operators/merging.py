@@ -114,3 +114,8 @@ def undo(state: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """The state before the changes of ``log``."""
     old = log.where("kind <> 'insert'").select(key, "before.*")
     return state.join(log.select(key), key, "left_anti").unionByName(old)
+
+
+def read_only(last: Column, latest: Column, days: int = 30) -> Column:
+    """Whether a copy may only be read, as its last merge lies that many days or more behind the latest change of the set."""
+    return F.coalesce(F.unix_seconds(latest) - F.unix_seconds(last) >= days * 86_400, F.lit(False))

@@ -135,3 +135,19 @@ def similar_paths(missing: DataFrame, files: DataFrame, least: float = 0.5, most
     rank = F.row_number().over(Window.partitionBy("missing").orderBy(F.desc("similarity"), "path"))
     found = wanted.join(near.select("a", "b", "similarity"), "a").join(others, "b")
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("missing", "path", "similarity", "rank")
+
+
+def following(verses: DataFrame) -> DataFrame:
+    """``verses`` (book, chapter, verse) with the next verse as struct ``next``: in the chapter, else the first one of the next
+    chapter, else of the next book; null at the end. Only books are put in one order as a whole."""
+    from pyspark.sql import Window
+
+    own = verses.select("book", "chapter", "verse").distinct()
+    first = own.groupBy("book", "chapter").agg(F.min("verse").alias("first"))
+    place = F.struct(F.col("book"), F.col("chapter"), F.col("first").alias("verse"))
+    chapters = first.withColumn("__c", F.lead(place).over(Window.partitionBy("book").orderBy("chapter")))
+    books = first.groupBy("book").agg(F.min(place).alias("p"))
+    books = books.select("book", F.lead("p").over(Window.orderBy("book")).alias("__b"))  # a row a book
+    ends = chapters.join(books, "book").select("book", "chapter", F.coalesce("__c", "__b").alias("__end"))
+    here = F.lead(F.struct("book", "chapter", "verse")).over(Window.partitionBy("book", "chapter").orderBy("verse"))
+    return own.withColumn("__n", here).join(ends, ["book", "chapter"]).select("book", "chapter", "verse", F.coalesce("__n", "__end").alias("next"))

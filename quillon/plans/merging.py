@@ -90,3 +90,10 @@ def kept_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-01-30").cast("timestamp")
     events = table(spark, sf_dir, "events").where(F.col("ts") < now)
     return G.kept_snapshots(events, "user_id", "ts", now).select("user_id", "event_id")
+
+
+@query("SELECT o_orderkey, epoch((SELECT max(o_orderdate) FROM orders)) - epoch(o_orderdate) >= 2592000 AS read_only FROM orders")
+def read_only_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("last"))
+    latest = orders.agg(F.max("last").alias("latest"))
+    return orders.join(F.broadcast(latest)).select("o_orderkey", G.read_only(F.col("last"), F.col("latest")).alias("read_only"))

@@ -66,3 +66,11 @@ def similar_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variable_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.lit("x").alias("id"), F.lit("number").alias("type"), F.col("p_size").cast("string").alias("value"), F.lit(7).alias("step"), F.lit(10).alias("low"), F.lit(40).alias("high"), F.array().cast("array<string>").alias("sets"))
     return W.changed(part, "x", "increment").select(F.col("p_partkey").alias("id"), "value")
+
+
+@query("""WITH v AS (SELECT DISTINCT l_suppkey AS book, l_linenumber AS chapter, l_partkey % 50 AS verse FROM lineitem)
+SELECT book, chapter, verse, lead(book) OVER w AS next_book, lead(chapter) OVER w AS next_chapter, lead(verse) OVER w AS next_verse FROM v WINDOW w AS (ORDER BY book, chapter, verse)""")
+def following_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    found = R.following(items.select(F.col("l_suppkey").alias("book"), F.col("l_linenumber").alias("chapter"), (F.col("l_partkey") % 50).alias("verse")))
+    return found.select("book", "chapter", "verse", F.col("next.book").alias("next_book"), F.col("next.chapter").alias("next_chapter"), F.col("next.verse").alias("next_verse"))

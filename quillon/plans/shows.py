@@ -452,3 +452,11 @@ def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.operators import timelines as L
 
     return L.crossed_zero(table(spark, sf_dir, "events"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(_now())) / 1e6, 3600).select("event_id")
+
+
+@query("SELECT conv_id, turn, string_agg(line, '/' ORDER BY k) AS lines FROM (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT DISTINCT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations)) GROUP BY conv_id, turn")
+def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line gets a dynamic token, which goes."""
+    token = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("{time_h}"), x, F.lit("{show_name|none}")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct()
+    return rows.select("conv_id", "turn", F.array_join(T.without_tokens(token), "/").alias("lines"))
