@@ -175,11 +175,13 @@ def fit(docs: DataFrame, negatives: int = 4000, rare: float = 0.002, agree: floa
     every = {f: [plain_words(t) for t in texts] for f, texts in TEMPLATES.items()}
     threes = sorted({" ".join(w[i : i + 3]) for ws in every.values() for w in ws for i in range(len(w) - 2)})
     template_words = sorted({x for ws in every.values() for w in ws for x in w})
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
-    n_words = F.size("words")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n_words - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)))
-    quoted = F.when(F.size("own") >= 3, F.arrays_overlap(runs, F.array(*map(F.lit, threes)))).otherwise(False)
-    worded = lines.select("line", words_of(F.col("line")).alias("words")).withColumn("own", F.array_intersect("words", F.array(*map(F.lit, template_words)))).where(~quoted)
+    # Words are made within the generator: a filter on them would be pushed below a projection and make them anew
+    # for every word that it looks at.
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words")))
+    lines = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.array_distinct(F.filter(x["words"], lambda w: w.isin(*template_words))).alias("own")))
+    worded = docs.select(F.explode(lines).alias("x")).select("x.*").where(F.length(F.trim("line")) > 0)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)))
+    worded = worded.where(~F.when(F.size("own") >= 3, F.exists(runs, lambda x: x.isin(*threes))).otherwise(False))
     # The empty word counts the lines.
     used = worded.select(F.explode(F.array_append("own", "")).alias("w")).groupBy("w").count()
     counts = {r.w: r["count"] for r in used.collect()}  # of the template words alone, so bounded by them
@@ -224,12 +226,12 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, **fitting) -> DataFram
     ``line`` is the first of a paragraph, ``lines`` how many it has."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scanner = scanner or fit(docs, **fitting)
-    cues = F.array(*map(F.lit, scanner.cues))
+    has_cue = lambda words: F.exists(words, lambda w: w.isin(*scanner.cues))
     found = "array<struct<line:int,lines:int,family:string,probability:double,agreement:double>>"
-    rows = docs.withColumn("cue", F.arrays_overlap(words_of(F.col("text")), cues))
+    rows = docs.withColumn("cue", has_cue(words_of(F.col("text"))))
     rest = rows.where("not cue").select("doc_id", F.expr(f"cast(array() as {found})").alias("licences"))
     lines = numbered(rows.where("cue").select("doc_id", "text")).select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    lines = lines.select("rid", "doc_id", "line", words_of(F.col("paragraph")).alias("words")).where(F.arrays_overlap("words", cues))
+    lines = lines.select("rid", "doc_id", "line", words_of(F.col("paragraph")).alias("words")).where(has_cue(F.col("words")))
     at = Window.partitionBy("rid").orderBy("line")
     # Neighbouring lines have line numbers as far apart as their places among the lines with a cue.
     lines = lines.withColumn("run", F.col("line") - F.row_number().over(at))
