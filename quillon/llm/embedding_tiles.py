@@ -141,9 +141,9 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
 
     turned = store(fit.select("rid", "v").mapInPandas(turn, "rid long, d int, first double, second double, h binary, x binary"))
     # Equal vectors are one row with a number of times; partial sums come first, so their number is no task's.
-    same = turned.groupBy("h").agg(F.min("rid").alias("to"), F.count("*").alias("m"))
-    copies = store(turned.select("rid", "h").join(same.hint("merge"), "h").select("rid", "to", "m"))
-    alone = store(turned.join(copies.where("rid = to").select("rid", "m").hint("merge"), "rid").drop("h"))
+    same = store(turned.groupBy("h").agg(F.min(F.struct("rid", "d", "first", "second", "x")).alias("r"), F.count("*").alias("m")))
+    copies = store(turned.select("rid", "h").join(same.select("h", F.col("r.rid").alias("to"), "m"), "h").select("rid", "to", "m"))
+    alone = same.select("r.*", "m")
     drop(turned)
     strips = max(1, -(-alone.count() // strip))
     # Parts as wide in the first component as strips are in the second.
@@ -177,10 +177,10 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
     pairs = packs.join(sides, "pack").repartition(max(1, -(-plan.count() // 2)), "a", "b")
     met = store(pairs.groupBy("a", "b").applyInPandas(meet, "rid long, n long, to long"))
     found = components(met.where("rid != to").select(F.col("rid").alias("a"), F.col("to").alias("b")))
-    counts = met.groupBy("rid").agg(F.sum("n").alias("n"))
-    of_rep = copies.where("rid = to").select("to").join(found.withColumnRenamed("node", "to"), "to", "left").join(counts.withColumnRenamed("rid", "to"), "to", "left")
-    of_copy = copies.join(of_rep.hint("merge"), "to").select("rid", F.coalesce("root", "to").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    named = store(base.select("rid", "vec_id").join(of_copy.hint("merge"), "rid", "left").select("vec_id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    counts = met.select(F.col("rid").alias("to"), "n", F.lit(None).cast("long").alias("root"))
+    of_rep = counts.unionByName(found.select(F.col("node").alias("to"), F.lit(0).cast("long").alias("n"), "root")).groupBy("to").agg(F.sum("n").alias("n"), F.max("root").alias("root"))
+    of_copy = copies.join(of_rep, "to", "left").select("rid", F.coalesce("root", "to").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    named = store(base.select("rid", "vec_id").join(of_copy, "rid", "left").select("vec_id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least_id = store(named.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     return named.join(least_id, "root").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
