@@ -12,7 +12,7 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 #: Modules whose import registers their queries.
-MODULES = ("search", "catalogue", "documents", "timelines", "polls", "merging", "texts", "scripture", "basics", "shows", "formats")
+MODULES = ("search", "catalogue", "documents", "timelines", "polls", "merging", "texts", "scripture", "basics", "shows", "formats", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -33,8 +33,10 @@ def scores(stream: DataFrame, time: str, late: str, points: int = 1) -> DataFram
     return once.groupBy("client").agg(F.sum(F.lit(points)).cast("long").alias("score"))
 
 
-def once_in_a_row(stream: DataFrame, key: str, time: str, value: str, idle_ms: int = 86_400_000) -> DataFrame:
-    """Rows whose value differs from the last one of their key; a key that is idle for a day is forgotten."""
+def once_in_a_row(stream: DataFrame, key: str, time: str, value: str, idle_ms: int | None = 86_400_000) -> DataFrame:
+    """Rows whose value differs from the last one of their key; a key that is idle for a day is forgotten.
+
+    A stream that is to end once it has read everything keeps its keys (``idle_ms`` None): it would wait for the idle ones."""
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,11 +47,12 @@ def once_in_a_row(stream: DataFrame, key: str, time: str, value: str, idle_ms: i
         before = rows[value].shift(1, fill_value=last)
         out = rows[(rows[value] != before) | (pd.Series(range(len(rows)), index=rows.index).eq(0) & (last is None))]
         state.update((rows[value].iloc[-1],))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out[[key, time, value]]
 
     schema = stream.select(key, time, value).schema
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def counters(stream: DataFrame, key: str, time: str) -> DataFrame:
@@ -109,3 +112,27 @@ def fan_out(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame], No
 def triggered(stream: DataFrame, actions: DataFrame, activation: str) -> DataFrame:
     """Events with the actions that their activation id starts: a join of the stream with a table."""
     return stream.join(actions, activation)
+
+
+def fetched(stream: DataFrame, key: str, time: str, life_s: float) -> DataFrame:
+    """key, time, fetched of requests: whether the cached answer is older than its life, which a fetch starts anew."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        out = []
+        for at in rows[time]:
+            due = last is None or (at - last).total_seconds() >= life_s
+            last = at if due else last
+            out.append(due)
+        state.update((last,))
+        yield rows[[key, time]].assign(fetched=out)
+
+    kinds = dict(stream.dtypes)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {time} {kinds[time]}, fetched boolean", f"last {kinds[time]}", "append", GroupStateTimeout.NoTimeout)
+
+
+def closing(stream: DataFrame, opened: DataFrame, time: str, limit_s: int, late: str) -> DataFrame:
+    """Answers given before their question closes, ``limit_s`` seconds after it opened: a join of the stream with a table."""
+    seen = stream.withWatermark(time, late).join(opened, "question")
+    return seen.where(F.col(time) < F.col("opened") + F.expr(f"interval {limit_s} seconds")).drop("opened")
