@@ -17,7 +17,9 @@ def feed(spark, tmp_path, rows, schema):
 def run(stream, tmp_path, mode="append"):
     name = f"t{abs(hash(str(tmp_path))) % 10**9}"
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(60)
+    # One that waits for idle keys never ends by itself.
+    query.stop()
     return stream.sparkSession.table(name).collect()
 
 
