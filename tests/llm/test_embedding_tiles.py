@@ -43,3 +43,26 @@ def test_against_brute_force(spark):
         got = embedding_tiles.near_links(frame, strip=strip).collect()
         assert sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in got) == want
     assert embedding_tiles.near_links(frame.limit(0)).collect() == []
+
+
+def test_strips_within_reach_meet(spark):
+    """The join of boxes gives every pair within reach, itself included, once, and no pair beyond it."""
+    r = np.random.default_rng(8)
+    low = r.uniform(-1, 0.9, (60, 3))
+    high = low + r.uniform(0, 0.3, (60, 3)) * (r.random((60, 1)) < 0.8)
+    rows = [(k, 8 if k % 5 else 9, low[k].tolist(), high[k].tolist()) for k in range(60)]
+    packs = spark.createDataFrame(rows, "pack long, d int, low array<double>, high array<double>")
+    for least in (0.9, 0.99):
+        reach = math.sqrt(2 - 2 * least) + embedding_tiles.SLACK
+        gap = lambda a, b: np.linalg.norm(np.maximum(0, np.maximum(low[a] - high[b], low[b] - high[a])))
+        want = sorted((a, b) for a in range(60) for b in range(a, 60) if rows[a][1] == rows[b][1] and gap(a, b) <= reach)
+        assert sorted((x.a, x.b) for x in embedding_tiles.meetings(packs, least).collect()) == want
+
+
+def test_equal_vectors_are_counted(spark):
+    """A third of all rows hold one vector: each of them links with all the others."""
+    r = np.random.default_rng(9)
+    rows = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else [float(x) for x in r.normal(size=3)]) for k in range(240)]
+    want = sorted(brute(rows, 0.9))
+    got = embedding_tiles.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6), strip=16).collect()
+    assert sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in got) == want
