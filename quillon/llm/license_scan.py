@@ -175,13 +175,19 @@ def fit(docs: DataFrame, negatives: int = 4000, rare: float = 0.002, agree: floa
     every = {f: [plain_words(t) for t in texts] for f, texts in TEMPLATES.items()}
     threes = sorted({" ".join(w[i : i + 3]) for ws in every.values() for w in ws for i in range(len(w) - 2)})
     template_words = sorted({x for ws in every.values() for w in ws for x in w})
+    starts, seconds = (sorted({t.split(" ")[k] for t in threes}) for k in (0, 1))
+
+    def quoted(words: Column) -> Column:
+        """Three words in a row of a template; the first two are looked up alone, which most places end at."""
+        at = lambda i: (F.get(words, i).isin(*starts)) & (F.get(words, i + 1).isin(*seconds)) & F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).isin(*threes)
+        return F.when(F.size(words) >= 3, F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), at)).otherwise(False)
+
     # Words are made within the generator: a filter on them would be pushed below a projection and make them anew
     # for every word that it looks at.
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words")))
-    lines = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.array_distinct(F.filter(x["words"], lambda w: w.isin(*template_words))).alias("own")))
-    worded = docs.select(F.explode(lines).alias("x")).select("x.*").where(F.length(F.trim("line")) > 0)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i), F.get("words", i + 1)))
-    worded = worded.where(~F.when(F.size("own") >= 3, F.exists(runs, lambda x: x.isin(*threes))).otherwise(False))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    own = lambda words: F.array_distinct(F.filter(words, lambda w: w.isin(*template_words)))
+    worded = docs.select(F.explode(F.transform(F.transform(lines, words_of), lambda w: F.struct(w.alias("words"), own(w).alias("own")))).alias("x")).select("x.*")
+    worded = worded.where((F.size("own") < 3) | ~quoted(F.col("words")))
     # The empty word counts the lines.
     used = worded.select(F.explode(F.array_append("own", "")).alias("w")).groupBy("w").count()
     counts = {r.w: r["count"] for r in used.collect()}  # of the template words alone, so bounded by them
@@ -189,8 +195,8 @@ def fit(docs: DataFrame, negatives: int = 4000, rare: float = 0.002, agree: floa
     cues = [w for w in template_words if counts.get(w, 0) <= rare * n_lines and not w.isdigit() and len(w) > 1]
     cue_set = set(cues)
     share = min(1.0, 4 * negatives / n_lines)
-    h = F.xxhash64("line")
-    drawn = worded.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30))).select("line", "words", h.alias("h")).dropDuplicates(["line"]).orderBy("h", "line").limit(negatives)
+    drawn = docs.select(F.explode(lines).alias("line")).withColumn("h", F.xxhash64("line")).where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).distinct()
+    drawn = drawn.select("line", "h", F.explode(F.array(words_of(F.col("line")))).alias("words")).where(~quoted(F.col("words"))).orderBy("h", "line").limit(negatives)
     sample = store(drawn.select(grams_of(F.col("words")).alias("grams"), F.pmod("h", F.lit(4)).alias("fold")).where(F.size("grams") > 0))
     vocabulary = sorted({g for ws in every.values() for w in ws for g in plain_grams(w) if cue_set & set(g.split(" "))})
     classes = [UNKNOWN, *sorted(TEMPLATES)]
