@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, drop, local_roots, numbered, store
@@ -149,8 +149,13 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
     # Parts as wide in the first component as strips are in the second.
     ordered = alone.repartitionByRange(max(1, round(strips**0.5)), "d", "first", "rid").sortWithinPartitions("d", "second")
     packs = store(numbered(ordered.mapInPandas(pack, "d int, low array<double>, high array<double>, n long, ids binary, times binary, x binary"), "pack"))
-    plan = store(meetings(packs, least))
-    sides = plan.select("a", "b", F.col("a").alias("pack"), F.lit(False).alias("second")).unionByName(plan.where("a != b").select("a", "b", F.col("b").alias("pack"), F.lit(True).alias("second")))
+    # Small neighbours are one strip, as many as there may be: the places come from running counts over a row a pack.
+    before = F.sum("n").over(Window.partitionBy("d").orderBy(F.col("low")[0], "pack"))
+    placed = store(packs.select("pack", "d", "low", "high", (F.col("d").cast("long") * (1 << 40) + F.floor((before - 1) / strip)).alias("strip")))
+    edge = lambda f, c: F.array(*(f(F.get(c, F.lit(k))) for k in range(lead))).alias(c)
+    boxes = placed.groupBy(F.col("strip").alias("pack"), "d").agg(edge(F.min, "low"), edge(F.max, "high"))
+    plan = store(meetings(boxes, least))
+    sides = plan.select("a", "b", F.col("a").alias("strip"), F.lit(False).alias("second")).unionByName(plan.where("a != b").select("a", "b", F.col("b").alias("strip"), F.lit(True).alias("second")))
 
     def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         d = int(frame["d"].iloc[0])
@@ -174,7 +179,7 @@ def near_links(vectors: DataFrame, least: float = 0.9, strip: int = 8192, sample
         return pd.DataFrame({"rid": ids[found], "n": hits[found], "to": ids[roots[found]]})
 
     # A task has some pairs of strips only, as comparing them takes the time, not moving them.
-    pairs = packs.join(sides, "pack").repartition(max(1, -(-plan.count() // 2)), "a", "b")
+    pairs = packs.join(placed.select("pack", "strip"), "pack").join(sides, "strip").repartition(max(1, -(-plan.count() // 2)), "a", "b")
     met = store(pairs.groupBy("a", "b").applyInPandas(meet, "rid long, n long, to long"))
     found = components(met.where("rid != to").select(F.col("rid").alias("a"), F.col("to").alias("b")))
     counts = met.select(F.col("rid").alias("to"), "n", F.lit(None).cast("long").alias("root"))
