@@ -18,10 +18,12 @@ through, but those named as the columns that are added are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import store, unused
+from quillon.llm.common import drop, store, unused
 
 WINDOW = 2
 ROOT = 31
@@ -32,6 +34,11 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def wide_hash(line: Column) -> Column:
+    """56 bits of the line's MD5; a rolling hash over ``WINDOW`` of them fits a long."""
+    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 14), 16, 10).cast("long")
+
+
 def chunks_of(text: Column, spread: int) -> Column:
     """array<struct<k:int,n:int,chunk:string>> in order; ``n`` is the number of lines. Joined by line ends they are the text."""
     lines = F.split(text, "\n")
@@ -92,40 +99,100 @@ def dedupe(docs: DataFrame, spread: int = 3) -> DataFrame:
     ).drop(left, lost)
 
 
-def line_pairs(text: Column) -> Column:
-    """array<struct<k:int,upto:int,pair:string>>: each line with text, from ``k`` to the next such line ``upto`` (from 1), blank lines between included."""
-    lines = F.split(text, "\n")
+def rolled(hashes: Column, i: Column) -> Column:
+    """The rolling hash over the ``WINDOW`` hashes that end at place ``i`` (from 1)."""
+    return F.get(hashes, i - 2) * ROOT + F.get(hashes, i - 1)
+
+
+def with_text(text: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """``use`` of the text's lines, the places of those with text (from 1) and the wide hash of each of these."""
+
+    def places(lines: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(r"\S"))
+        both = F.transform(F.array(full), lambda x: F.struct(x.alias("full"), F.transform(x, lambda i: wide_hash(F.get(lines, i - 1))).alias("hashes")))
+        return F.transform(both, lambda x: use(lines, x["full"], x["hashes"]))[0]
+
+    return F.transform(F.array(F.split(text, "\n")), places)[0]
+
 
-    def cut(lines_: Column) -> Column:
-        full = F.filter(F.sequence(F.lit(1), F.size(lines_)), lambda i: F.get(lines_, i - 1).rlike(r"\S"))
+def passage_chunks(text: Column, spread: int) -> Column:
+    """array<struct<k:int,upto:int,n:int,chunk:string>>: content-defined chunks of the lines with text, from place ``k`` to ``upto``
+    (from 1), blank lines between included. A chunk begins with the line that ends the one before, so that each of the ``n``
+    windows of two lines lies in one chunk."""
 
-        def pairs(at: Column) -> Column:
-            return F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda j, n: F.struct(F.get(at, n).alias("k"), j.alias("upto"), F.array_join(F.slice(lines_, F.get(at, n), j - F.get(at, n) + 1), "\n").alias("pair")))
+    def cut(lines: Column, full: Column, hashes: Column) -> Column:
+        last = F.size(full)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i == last) | ((i >= WINDOW) & (rolled(hashes, i) % spread == 0)))
 
-        return F.transform(F.array(full), pairs)[0]
+        def chunk(begin: Column, end: Column) -> Column:
+            k, upto = F.get(full, begin - 1), F.get(full, end - 1)
+            return F.struct(k.alias("k"), upto.alias("upto"), (end - begin).alias("n"), F.array_join(F.slice(lines, k, upto - k + 1), "\n").alias("chunk"))
 
-    return F.transform(F.array(lines), cut)[0]
+        chunks = F.transform(F.array(ends), lambda x: F.transform(x, lambda end, c: chunk(F.when(c == 0, F.lit(1)).otherwise(F.get(x, c - 1)), end)))[0]
+        return F.filter(chunks, lambda c: c["n"] > 0)
 
+    return with_text(text, cut)
 
-def without_passages(docs: DataFrame) -> DataFrame:
+
+def windows(text: Column) -> Column:
+    """array<struct<k:int,upto:int,roll:long,pair:string>>: each line with text, from ``k`` to the next such line ``upto`` (from 1),
+    blank lines between included, with the rolling hash over both."""
+
+    def each(lines: Column, full: Column, hashes: Column) -> Column:
+        def window(j: Column, n: Column) -> Column:
+            k = F.get(full, n)
+            return F.struct(k.alias("k"), j.alias("upto"), rolled(hashes, n + 2).alias("roll"), F.array_join(F.slice(lines, k, j - k + 1), "\n").alias("pair"))
+
+        return F.transform(F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0))), window)
+
+    return with_text(text, each)
+
+
+def chunk_digest(chunk: Column) -> Column:
+    return F.unhex(F.md5(chunk.cast("binary")))
+
+
+def without_passages(docs: DataFrame, spread: int = 3) -> DataFrame:
     """``docs`` with every passage of two lines or more with text that stood before (smaller doc_id, then place) taken
     out of ``text``, and a column more: __removed_lines.
 
-    Every pair of neighbouring lines is looked up by its SHA-256, so no boundary has to fall anywhere and a passage goes
-    in full length. A line's first occurrence in the corpus always stays; of a line repeated in a row, two stay.
-    Defined results are those of :func:`dedupe`, but that blank lines neither make nor break a passage.
+    The texts are cut into chunks by the rolling hash over line hashes; chunks that occur again are found by digest, compared byte
+    by byte with the first occurrence, and go as a whole. That alone misses passages within which no two boundaries fall. So the
+    chunks that stay are opened: their windows of two lines are found by the same rolling hash, without the condition of being
+    divisible, and those of equal hash are compared byte by byte. A chunk that goes need not be opened, as each of its windows
+    stands in the first occurrence too. So a passage goes in full length wherever the boundaries fall.
+
+    A line's first occurrence in the corpus always stays; of a line repeated in a row, two stay. Defined results are those of
+    :func:`dedupe`, but that blank lines neither make nor break a passage.
     """
     key, dk, lost = row_key(), unused(docs, "__key"), unused(docs, "__gone")
-    rows = docs.where("text is not null").select("doc_id", key.alias("dk"), F.explode(line_pairs(F.col("text"))).alias("c"))
-    rows = store(rows.select("doc_id", "dk", "c.k", "c.upto", F.unhex(F.sha2(F.col("c.pair").cast("binary"), 256)).alias("digest")))
     place = F.struct("doc_id", "dk", "k")
+    is_first = place.eqNullSafe(F.col("first"))
+    rows = docs.where("text is not null").select("doc_id", key.alias("dk"), F.explode(passage_chunks(F.col("text"), spread)).alias("c"))
+    rows = store(rows.select("doc_id", "dk", "c.*").withColumn("digest", chunk_digest(F.col("chunk"))))
     again = store(rows.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times"))
-    found = rows.join(again.hint("merge"), "digest").where(~place.eqNullSafe(F.col("first")))
-    # A pair that overlaps its own first occurrence (a line repeated in a row) leaves that one whole.
+    met = store(rows.join(again.hint("merge"), "digest", "left"))
+    drop(rows, again)
+    first = store(met.where(is_first).groupBy("digest").agg(F.min("chunk").alias("first_chunk")))
+    told = met.where(F.col("first").isNotNull() & ~is_first).join(first.hint("merge"), "digest").withColumn("same", F.col("chunk") == F.col("first_chunk"))
+    told = store(told.select("doc_id", "dk", "k", "upto", "n", "first", "same", F.when(~F.col("same"), F.col("chunk")).alias("chunk")))
+    opened = met.where(F.col("first").isNull() | is_first).select("doc_id", "dk", "k", "chunk").unionByName(told.where("not same").select("doc_id", "dk", "k", "chunk"))
+    pairs = opened.select("doc_id", "dk", F.col("k").alias("at"), F.explode(windows(F.col("chunk"))).alias("w"))
+    pairs = store(pairs.select("doc_id", "dk", (F.col("at") + F.col("w.k") - 1).alias("k"), (F.col("at") + F.col("w.upto") - 1).alias("upto"), "w.roll", "w.pair"))
+    drop(met, first)
+    twice = store(pairs.groupBy("roll").agg(F.count("*").alias("times")).where("times > 1").drop("times"))
+    found = store(pairs.join(twice.hint("merge"), "roll", "left_semi"))
+    drop(pairs, twice)
+    firsts = store(found.groupBy("roll", "pair").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times"))
+    again = found.join(firsts.hint("merge"), ["roll", "pair"]).where(~is_first).select("doc_id", "dk", "k", "upto", F.lit(1).alias("n"), "first")
+    # A window that overlaps its own first occurrence (a line repeated in a row) leaves that one whole. Of a chunk of more windows
+    # no window does, whatever chunk it follows.
     first_upto = F.col("first.k") + F.col("upto") - F.col("k")
-    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (first_upto >= F.col("k"))
+    own = (F.col("n") == 1) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dk") == F.col("dk")) & (first_upto >= F.col("k"))
     lines = F.sequence(F.when(own, first_upto + 1).otherwise(F.col("k")), F.col("upto"))
-    gone = store(found.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias(lost)))
+    repeated = told.where("same").select(again.columns).unionByName(again)
+    gone = store(repeated.groupBy("dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lines)))).alias(lost)))
+    drop(told, found, firsts)
     out = docs.withColumn(dk, key).join(gone.withColumnRenamed("dk", dk).hint("merge"), dk, "left").drop(dk)
     kept = F.array_join(F.transform(F.array(F.split("text", "\n")), lambda x: between(x, F.col(lost)))[0], "\n")
     some = F.col(lost).isNotNull()

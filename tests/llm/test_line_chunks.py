@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import line_chunks
@@ -115,3 +116,54 @@ def test_the_pipeline_takes_short_passages_out(spark):
     rows = [(k, f"own {k} a\nshared one\nshared two\nown {k} b", 40) for k in range(20)]
     got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "").collect()
     assert {r.doc_id: (r.text, r.n_chars) for r in got if r.doc_id} == {k: (t, len(t)) for k in range(1, 20) for t in [f"own {k} a\nown {k} b"]}
+
+
+def passage_cut(text, spread=3):
+    """Chunks and windows of the lines with text, as (first line, last line, text[, rolling hash])."""
+    lines = text.split("\n")
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    h = [int(hashlib.md5(lines[i].encode()).hexdigest()[:14], 16) for i in full]
+    rolls = [h[j - 1] * 31 + h[j] for j in range(1, len(full))]
+    ends = [0, *(j for j in range(1, len(full)) if j == len(full) - 1 or rolls[j - 1] % spread == 0)]
+    chunks = [(full[a] + 1, full[b] + 1, b - a, "\n".join(lines[full[a] : full[b] + 1])) for a, b in zip(ends, ends[1:], strict=False)]
+    return chunks, [(full[j - 1] + 1, full[j] + 1, rolls[j - 1], "\n".join(lines[full[j - 1] : full[j] + 1])) for j in range(1, len(full))]
+
+
+def test_passages_are_cut_by_the_rolling_hash(spark):
+    docs = cases.documents(spark).where("text is not null")
+    got = docs.select("text", line_chunks.passage_chunks(F.col("text"), 3).alias("c"), line_chunks.windows(F.col("text")).alias("w")).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        chunks, windows = passage_cut(r.text)
+        assert [tuple(c) for c in r.c] == chunks and [tuple(w) for w in r.w] == windows
+        assert sum(c.n for c in r.c) == len(windows)
+    assert max(c.n for r in got for c in r.c) > 1 and max(len(r.c) for r in got) > 2
+
+
+@pytest.mark.parametrize("same", [0, 1])
+def test_passages_of_equal_hashes_are_told_apart_by_their_bytes(spark, monkeypatch, same):
+    """All hashes equal: 0 ends a chunk at every line, 1 at none. What goes is the same."""
+    docs = cases.documents(spark).select("doc_id", "text")
+    some = lambda: sorted(map(str, line_chunks.without_passages(docs).collect()))
+    want = some()
+    monkeypatch.setattr(line_chunks, "wide_hash", lambda line: F.lit(same).cast("long"), raising=False)
+    monkeypatch.setattr(line_chunks, "chunk_digest", lambda chunk: F.lit(b"same"), raising=False)
+    monkeypatch.setattr(line_chunks.F, "sha2", lambda text, bits: F.lit("00"))
+    assert some() == want
+
+
+def test_copies_of_passages_go_by_their_chunks(spark, monkeypatch):
+    """Only the windows of chunks that stay are looked up: of twenty copies those of one, and some by the ends."""
+    passage = "\n".join(f"line {k} of a passage that many texts share" for k in range(40))
+    docs = spark.createDataFrame([(k, f"intro {k}\n" * (k % 4) + passage + f"\nend {k}") for k in range(20)], "doc_id long, text string")
+    looked_up, store = [], line_chunks.store
+
+    def counted(df, *rest):
+        found = store(df, *rest)
+        looked_up.extend([found.count()] if df.columns[-2:] == ["roll", "pair"] else [])
+        return found
+
+    monkeypatch.setattr(line_chunks, "store", counted)
+    got = {r.doc_id: r.text for r in line_chunks.without_passages(docs).collect()}
+    assert got[0] == passage + "\nend 0" and all("passage" not in t for k, t in got.items() if k)
+    assert len(looked_up) == 1 and 41 <= looked_up[0] < 20 * 41 / 2
